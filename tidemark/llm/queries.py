@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .encoding import encode_texts
 from .leaks import leaked_items
+from .residue import residue_documents
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -24,5 +25,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold template residue, filler, an error message or a script notice."""
+    return residue_documents(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p9_found)}
 SQL: dict[str, str] = {}
