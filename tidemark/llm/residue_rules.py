@@ -176,7 +176,7 @@ CUES = frozenset(
     b"javascript js ecmascript java script scripts scripting skripte skripten skript cookies segmentation keyerror valueerror typeerror render existe maintenant plus keine deleted gone".split()
 )
 #: Cues that ordinary sentences hold too; they count in short ones.
-WEAK = frozenset(b"found moved added empty down test code isn refused could gone reached removed type edit asked host file request checking loading text description summary".split())
+WEAK = frozenset(b"written file n a name sans sin page found moved added empty down test code isn refused could gone reached removed type edit asked host file request checking loading text description summary".split())
 
 
 #: Labels: none; one that rests on a slot or an empty value, and so does not hold for the same words with these filled in; one that holds for near-duplicates.
