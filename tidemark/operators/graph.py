@@ -1,7 +1,8 @@
 """Graph operators over edges (src, dst) and nodes (id).
 
 Iterations are joins and aggregates; between rounds the state is written to the shared
-folder, which cuts the lineage and survives lost executors. Sums per node are combined
+folder, which cuts the lineage and survives lost executors; every round is cut, as a round uses the state more than
+once and uncut rounds would multiply. Sums per node are combined
 before the shuffle, so a hub with a third of all edges is no heavy task; a hub's adjacency
 is never collected, except in betweenness and modularity, which say so and bound it.
 """
@@ -29,7 +30,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, cut_every: int = 1) -> DataFrame:
     """id, rank: power iteration until the summed change is within the tolerance, at most ``rounds`` times.
 
     Parallel edges count. The mass of nodes without edges is spread evenly; edges to what is no
@@ -173,7 +174,7 @@ def ecosystem_centrality(centrality: DataFrame, edges: DataFrame, top: int = 10)
     return centrality.join(sums, "id", "left").select("id", ((F.col("centrality") + F.coalesce("s", F.lit(0.0))) / (1 + F.coalesce("n", F.lit(0)))).alias("centrality"))
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6, cut_every: int = 1) -> DataFrame:
     """id, score: power iteration on the undirected graph with the identity added, so it also settles on bipartite graphs; unit length."""
     links = written(undirected(edges))
     state = nodes.select("id").distinct().withColumn("score", F.lit(1.0))

@@ -40,14 +40,15 @@ def two_samples(df: DataFrame, group: str, a: str, b: str, value: str, by: Seque
 def t_test(samples: DataFrame) -> DataFrame:
     """Student's two-sample test on the moments of ``two_samples``: statistic, df, effect (Cohen's d), hedges_g, lo, hi and p.
 
+    A single value has no variance of its own; without a degree of freedom there is no statistic.
     Two constant samples: no difference gives p 1, a difference infinite statistic and p 0.
     """
     c = F.col
     df = c("n_a") + c("n_b") - 2
-    pooled = F.sqrt(F.try_divide((c("n_a") - 1) * c("var_a") + (c("n_b") - 1) * c("var_b"), df))
+    pooled = F.sqrt(F.try_divide((c("n_a") - 1) * F.coalesce("var_a", F.lit(0.0)) + (c("n_b") - 1) * F.coalesce("var_b", F.lit(0.0)), F.when(df > 0, df)))
     diff = c("mean_a") - c("mean_b")
     se = pooled * F.sqrt(F.try_divide(F.lit(1.0), c("n_a")) + F.try_divide(F.lit(1.0), c("n_b")))
-    stat = F.when(se > 0, F.try_divide(diff, se)).when(diff == 0, F.lit(0.0)).when(diff > 0, F.lit(float("inf"))).when(diff < 0, F.lit(float("-inf")))
+    stat = F.when(se.isNull(), None).when(se > 0, F.try_divide(diff, se)).when(diff == 0, F.lit(0.0)).when(diff > 0, F.lit(float("inf"))).when(diff < 0, F.lit(float("-inf")))
     effect = F.when(pooled > 0, F.try_divide(diff, pooled)).otherwise(F.lit(0.0))
     out = samples.withColumns({"difference": diff, "df": df, "statistic": stat, "effect": effect, "lo": diff - 1.96 * se, "hi": diff + 1.96 * se})
     out = out.withColumn("hedges_g", c("effect") * (1 - F.try_divide(F.lit(3.0), 4.0 * (c("n_a") + c("n_b")) - 9)))

@@ -141,7 +141,7 @@ def weekday_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TWO = """count(*) FILTER ({a}) AS na, count(*) FILTER ({b}) AS nb, avg(value) FILTER ({a}) AS ma, avg(value) FILTER ({b}) AS mb, var_samp(value) FILTER ({a}) AS va, var_samp(value) FILTER ({b}) AS vb"""
-_T = "round((ma - mb) / (sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) * sqrt(1.0 / na + 1.0 / nb)), 6) AS statistic, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS effect"
+_T = "round((ma - mb) / (sqrt(((na - 1) * coalesce(va, 0) + (nb - 1) * coalesce(vb, 0)) / nullif(na + nb - 2, 0)) * sqrt(1.0 / na + 1.0 / nb)), 6) AS statistic, round((ma - mb) / sqrt(((na - 1) * coalesce(va, 0) + (nb - 1) * coalesce(vb, 0)) / nullif(na + nb - 2, 0)), 6) AS effect"
 
 
 @query(f"WITH {DAILY_ORDERS}, t AS (SELECT series, " + _TWO.format(a="isodow(day) < 6", b="isodow(day) >= 6") + f" FROM daily GROUP BY 1) SELECT series, {_T} FROM t")
