@@ -301,3 +301,32 @@ def extend(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges:
 
     every = nodes.select("id").union(new_nodes.select("id")).distinct()
     return every, edges.unionByName(edges_between(new_edges, every)).distinct()
+
+
+def counts_by_type(rows: DataFrame, kind: str) -> DataFrame:
+    """Nodes or relationships by label or type."""
+    return rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that break uniqueness, with their number of rows; null keys too."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+
+
+def display_network(centrality: DataFrame, communities: DataFrame, most: int = 60) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` central nodes, and pairs of these in the same community (a report of stated size)."""
+    best = centrality.orderBy(F.desc("centrality"), "id").limit(most).join(communities, "id")
+    a, b = best.select(F.col("id").alias("src"), "community"), best.select(F.col("id").alias("dst"), F.col("community").alias("other"))
+    return best, a.join(b, (F.col("community") == F.col("other")) & (F.col("src") < F.col("dst"))).select("src", "dst", "community")
+
+
+def nodes_by_type(nodes: DataFrame, label: str) -> DataFrame:
+    return nodes.where(F.col("label") == label)
+
+
+def neighbours(edges: DataFrame, kind: str, source: DataFrame, target: DataFrame) -> DataFrame:
+    """One step of a path: source rows joined over edges of a type to target rows (columns of both, prefixed a_ and b_)."""
+    e = edges.where(F.col("type") == kind)
+    a = source.select(*(F.col(c).alias(f"a_{c}") for c in source.columns))
+    b = target.select(*(F.col(c).alias(f"b_{c}") for c in target.columns))
+    return a.join(e, F.col("a_id") == F.col("src")).join(b, F.col("b_id") == F.col("dst")).drop("src", "dst", "type")

@@ -313,3 +313,74 @@ def spectral_peak(x: np.ndarray) -> tuple[float, float]:
         return float("nan"), 0.0
     k = 1 + int(np.argmax(power[1:]))
     return len(d) / k, float(power[k] / power[1:].mean())
+
+
+def prediction_interval(point: Column, residual_sd: Column, step: Column, horizon: int, level: float = 0.95) -> Column:
+    """Struct lo, hi around a forecast: the residual deviation grows with the share of the horizon."""
+    half = s.normal_quantile((1 + level) / 2) * residual_sd * F.sqrt(1 + step / float(horizon))
+    return F.struct((point - half).alias("lo"), (point + half).alias("hi"))
+
+
+def normality(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Jarque-Bera test per group: n, statistic, p. It takes the place of tests that need the sorted sample."""
+    c = F.col
+    v = c(value).cast("double")
+    out = df.where(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"))
+    out = out.withColumn("statistic", c("n") / 6.0 * (c("skew") * c("skew") + c("kurt") * c("kurt") / 4))
+    return out.withColumn("p", s.chi2_p_value("statistic", F.lit(2.0))).select(*by, "n", "statistic", "p")
+
+
+def pre_post(df: DataFrame, by: Sequence[str], day: str, value: str, at: str, alpha: float = 0.05) -> DataFrame:
+    """Compare before and after: Student's t where both sides pass for normal, else the rank test: test, p, effect."""
+    part = df.withColumn("__p", F.when(F.col(day) < F.lit(at).cast("date"), "before").otherwise("after"))
+    fits = normality(part, [*by, "__p"], value).groupBy(*by).agg(F.bool_and(F.col("p") >= alpha).alias("__normal"))
+    t = t_test(two_samples(part, "__p", "before", "after", value, by)).select(*by, F.col("p").alias("__tp"), F.col("effect").alias("__te"))
+    u = mann_whitney(part, "__p", "before", "after", value, by).select(*by, F.col("p").alias("__up"), F.col("effect").alias("__ue"))
+    both = fits.join(t, list(by)).join(u, list(by))
+    pick = lambda a, b: F.when(F.col("__normal"), F.col(a)).otherwise(F.col(b))
+    return both.select(*by, F.when(F.col("__normal"), "t").otherwise("mann_whitney").alias("test"), pick("__tp", "__up").alias("p"), pick("__te", "__ue").alias("effect"))
+
+
+def over_threshold(share: Column, lo: Column, hi: Column, threshold: float = 0.7) -> Column:
+    """Struct exceeds, z of a share against a threshold, with the error taken from its 95 % interval."""
+    se = (hi - lo) / (2 * 1.959963984540054)
+    return F.struct((share > threshold).alias("exceeds"), F.try_divide(share - threshold, se).alias("z"))
+
+
+def subsamples(df: DataFrame, by: Sequence[str], value: str, draws: int = 100, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Stability of the mean over subsamples without replacement: mean, cv, is_stable (below a fifth)."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(pdf["__v"].dropna().to_numpy(float))
+        k = max(1, int(len(x) * share)) if len(x) else 0
+        if not k:
+            return _named(pd.DataFrame([[*key, None, None, None]]), [*by, "mean", "cv", "is_stable"])
+        rng = np.random.RandomState(seed_of(key, seed))
+        made = np.array([x[rng.permutation(len(x))[:k]].mean() for _ in range(draws)])
+        cv = float(made.std() / abs(made.mean())) if made.mean() else None
+        return _named(pd.DataFrame([[*key, float(made.mean()), cv, cv is not None and cv < 0.2]]), [*by, "mean", "cv", "is_stable"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    return df.select(*by, F.col(value).cast("double").alias("__v")).groupBy(*by).applyInPandas(one, f"{fields}, mean double, cv double, is_stable boolean")
+
+
+def against_benchmark(df: DataFrame, benchmark: DataFrame, day: str, value: str) -> DataFrame:
+    """One row: r, ratio of means and whether both slopes have the same sign, over the positions that both series have."""
+    number = lambda t, c: t.select(F.row_number().over(Window.orderBy(day)).alias("__k"), F.col(value).cast("double").alias(c))
+    both = number(df, "x").join(number(benchmark, "y"), "__k")
+    return both.agg(F.corr("x", "y").alias("r"), F.try_divide(F.avg("x"), F.avg("y")).alias("ratio"), (F.signum(F.regr_slope("x", "__k")) == F.signum(F.regr_slope("y", "__k"))).alias("same_direction"))
+
+
+def alignment(days: DataFrame, day: str, event: str, first: str, last: str, tolerance: int = 14) -> DataFrame:
+    """day, distance, is_aligned, p: the share of all days between first and last that are as near to the event."""
+    d = lambda x: F.lit(x).cast("date")
+    distance = F.abs(F.datediff(day, d(event)))
+    before, after = F.datediff(d(event), d(first)), F.datediff(d(last), d(event))
+    near = F.least(distance, before) + F.least(distance, after) + 1
+    return days.select(day, distance.alias("distance"), (distance <= tolerance).alias("is_aligned"), F.least(F.lit(1.0), near / (before + after + 1)).alias("p"))
+
+
+def decomposition_consistency(parts: DataFrame, by: Sequence[str], day: str, columns: Sequence[str], least: float = 0.7) -> DataFrame:
+    """Smallest correlation between the seasonal parts of several methods (one column each), and whether it is over ``least``."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return parts.groupBy(*by).agg(F.least(*(F.corr(a, b) for a, b in pairs), F.lit(1.0)).alias("smallest")).withColumn("is_consistent", F.col("smallest") > least)
