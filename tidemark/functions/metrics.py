@@ -33,9 +33,14 @@ def percentage_change(baseline: Column, value: Column) -> Column:
     return F.when(F.abs(baseline) < 1e-10, jump).otherwise(F.try_divide(change, baseline) * 100)
 
 
+def capped(value: Column, most: float = 1.0) -> Column:
+    """The value, at most ``most``; null stays null (``least`` would skip it)."""
+    return F.when(value > most, F.lit(most)).otherwise(value)
+
+
 def hype_score(view_velocity: Column, edit_growth: Column, content_expansion: Column) -> Column:
     """Weighted shares of three magnitudes, each capped; signs do not count."""
-    part = lambda x, most: F.least(F.abs(x) / most, F.lit(1.0))
+    part = lambda x, most: capped(F.abs(x) / most)
     return 0.5 * part(view_velocity, 1000) + 0.3 * part(edit_growth, 500) + 0.2 * part(content_expansion, 300)
 
 
@@ -49,7 +54,7 @@ def spike_kind(days: Column) -> Column:
 
 def reputation_risk(velocity: Column, vandalism: Column, anonymous: Column) -> Column:
     """Velocity in edits per hour, the other two in percent."""
-    return 0.3 * F.least(velocity / 100, F.lit(1.0)) + 0.4 * vandalism / 100 + 0.3 * anonymous / 100
+    return 0.3 * capped(velocity / 100) + 0.4 * vandalism / 100 + 0.3 * anonymous / 100
 
 
 def level(value: Column, high: float, medium: float) -> Column:
@@ -84,7 +89,7 @@ def throughput(rows: Column, seconds: Column) -> Column:
 
 def evidence_strength(significant_share: Column, mean_effect: Column) -> Column:
     """Nothing to show counts as no evidence."""
-    return F.coalesce(0.6 * significant_share + 0.4 * F.least(mean_effect, F.lit(1.0)), F.lit(0.0))
+    return F.coalesce(0.6 * significant_share + 0.4 * capped(mean_effect), F.lit(0.0))
 
 
 def quarter_label(time: Column) -> Column:

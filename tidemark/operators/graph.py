@@ -288,7 +288,9 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int = 2, most: int | None =
         new = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).where("id is not null").distinct().join(reached, "id", "left_anti").withColumn("depth", F.lit(level))
         new = written(new)
         if new.isEmpty():
-            break
+            if visited is None:
+                break
+            continue  # an earlier run may have reached this far
         reached = written(reached.unionByName(new))
     if most is None:
         return reached

@@ -37,16 +37,16 @@ def _sweep(spans: DataFrame, keys: list[str], gap: int, keep: list[Column] = ())
     return swept.withColumn("__closed", F.coalesce(F.sum(closes).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def _close(swept: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """One row per session. The rise from zero carries its first event, the fall to zero its last."""
+def _close(swept: DataFrame, keys: list[str], gap: int, sums: list[str] = ()) -> DataFrame:
+    """One row per session. The rise from zero carries its first event, the fall to zero its last; ``sums`` are added up over the rises."""
     opens = (F.col("__d") == 1) & (F.col("__open") == 1)
     closes = F.col("__open") == 0
     return swept.groupBy(*keys, "__closed").agg(
         F.max(F.when(opens, F.col("__t"))).alias("__start"),
         F.max(F.when(closes, F.col("__t") - gap)).alias("__end"),
-        F.sum(F.when(F.col("__d") == 1, F.col("__n")).otherwise(0)).alias("__n"),
         F.max(F.when(opens, F.col("__e"))).alias("__first"),
         F.max(F.when(closes, F.col("__e"))).alias("__last"),
+        *(F.sum(F.when(F.col("__d") == 1, F.col(c)).otherwise(0)).alias(c) for c in ["__n", *sums]),
     )
 
 
@@ -80,14 +80,33 @@ def sessions(
         .withColumns({"__end": F.col("__start"), "__last": F.col("__first"), "__n": F.lit(1).cast("long")})
     )
     local = _sweep(once, ["__u", "__c"], gap, ["__v"] if distinct else [])
-    pieces = _close(local, ["__u", "__c"], gap)
-    if distinct:
-        pieces = pieces.withColumn("__p", F.struct("__c", "__closed"))
-        whole = _sweep(pieces.drop("__c", "__closed"), ["__u"], gap, ["__p"])
-    else:
-        whole = _sweep(pieces.drop("__c", "__closed"), ["__u"], gap)
-    joined = _close(whole, ["__u"], gap)
-    result = joined.select(
+    if not distinct:
+        pieces = _close(local, ["__u", "__c"], gap)
+        return _named(_close(_sweep(pieces.drop("__c", "__closed"), ["__u"], gap), ["__u"], gap), user)
+    # A value counts in its piece where it comes first; all of this stays in the pieces' partitions.
+    own, rise = ["__u", "__c", "__closed"], F.col("__d") == 1
+    nth = F.row_number().over(Window.partitionBy(*own, "__v", "__d").orderBy("__t"))
+    whole_piece = Window.partitionBy(*own)
+    marked = local.withColumn("__m", F.when(rise & F.col("__v").isNotNull() & (nth == 1), 1).otherwise(0)).withColumns(
+        {"__a": F.min(F.when(rise, F.col("__t"))).over(whole_piece), "__b": F.max(F.when(rise, F.col("__t"))).over(whole_piece)}
+    )
+    pieces = _close(marked, ["__u", "__c"], gap, ["__m"]).withColumns({"__p": F.struct("__c", "__closed"), "__k": F.lit(1)})
+    whole = _sweep(pieces.drop("__c", "__closed"), ["__u"], gap, ["__p", "__m", "__k"])
+    joined = _close(whole, ["__u"], gap, ["__m", "__k"])
+    # Only pieces that reach an edge of their stretch of time can have been joined to others; their values are counted anew.
+    edge = (F.col("__a") - gap < F.col("__c") * piece) | (F.col("__b") + gap >= (F.col("__c") + 1) * piece)
+    seen = marked.where((F.col("__m") == 1) & edge).select("__u", F.col("__c").alias("__pc"), F.col("__closed").alias("__ps"), "__v")
+    where = whole.where("__d = 1").select("__u", F.col("__p.__c").alias("__pc"), F.col("__p.__closed").alias("__ps"), "__closed")
+    several = joined.where("__k > 1")
+    counts = seen.join(where.join(several.select("__u", "__closed"), ["__u", "__closed"], "left_semi"), ["__u", "__pc", "__ps"])
+    counts = counts.groupBy("__u", "__closed").agg(F.countDistinct("__v").alias("n_distinct"))
+    again = several.join(counts, ["__u", "__closed"], "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
+    single = joined.where("__k = 1").withColumn("n_distinct", F.col("__m").cast("long"))
+    return _named(single.unionByName(again), user, "n_distinct")
+
+
+def _named(joined: DataFrame, user: str, *more: str) -> DataFrame:
+    return joined.select(
         F.col("__u").alias(user),
         from_micros("__start").alias("start"),
         from_micros("__end").alias("end"),
@@ -95,15 +114,5 @@ def sessions(
         F.col("__n").alias("n_events"),
         F.col("__first").alias("first_id"),
         F.col("__last").alias("last_id"),
-        *(["__closed"] if distinct else []),
-    )
-    if not distinct:
-        return result
-    seen = local.where((F.col("__d") == 1) & F.col("__v").isNotNull()).select("__u", F.col("__c").alias("__pc"), F.col("__closed").alias("__ps"), "__v").distinct()
-    where = whole.where("__d = 1").select("__u", F.col("__p.__c").alias("__pc"), F.col("__p.__closed").alias("__ps"), "__closed")
-    counts = seen.join(where, ["__u", "__pc", "__ps"]).groupBy("__u", "__closed").agg(F.countDistinct("__v").alias("n_distinct"))
-    return (
-        result.join(counts.withColumnRenamed("__u", user), [user, "__closed"], "left")
-        .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
-        .drop("__closed")
+        *more,
     )

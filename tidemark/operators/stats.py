@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 from ..functions import special as s
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson's coefficient of complete pairs; null where a side is constant or there is no pair."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean, var (sample), sd (sample), pop (population deviation) of the non-null values."""
     v = F.col(value).cast("double")
@@ -116,8 +123,8 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = (), z: float
     """n, r, lo, hi (Fisher), p over complete pairs; a constant side gives r 0, fewer than four pairs the interval -1..1, fewer than three no r."""
     c = F.col
     a, b = c(x).cast("double"), c(y).cast("double")
-    agg = df.where(a.isNotNull() & b.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("raw"))
-    r = F.when(c("n") >= 3, F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.nanvl("raw", F.lit(0.0)))), F.lit(0.0)))
+    agg = df.where(a.isNotNull() & b.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(a, b).alias("raw"))
+    r = F.when(c("n") >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("raw", F.lit(0.0)))))
     out = agg.withColumn("r", r)
     inner = F.greatest(F.lit(-0.9999999), F.least(F.lit(0.9999999), c("r")))
     half = F.when(c("n") > 3, F.lit(z) / F.sqrt(F.greatest(c("n") - 3, F.lit(1)).cast("double")))
@@ -139,7 +146,12 @@ def wilson(successes: Column, trials: Column, z: float = 1.959963984540054) -> C
     n, zz = F.nullif(trials.cast("double"), F.lit(0.0)), z * z
     p = successes / n
     centre, width = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
-    return F.struct(F.greatest(F.lit(0.0), centre - width).alias("lo"), F.least(F.lit(1.0), centre + width).alias("hi"))
+    return _held(centre - width, centre + width)
+
+
+def _held(lo: Column, hi: Column) -> Column:
+    """Struct lo, hi held in 0..1; nulls stay."""
+    return F.struct(F.when(lo.isNotNull(), F.greatest(F.lit(0.0), lo)).alias("lo"), F.when(hi.isNotNull(), F.least(F.lit(1.0), hi)).alias("hi"))
 
 
 def normal_proportion(successes: Column, trials: Column, z: float = 1.959963984540054) -> Column:
@@ -147,7 +159,7 @@ def normal_proportion(successes: Column, trials: Column, z: float = 1.9599639845
     n = F.nullif(trials.cast("double"), F.lit(0.0))
     p = successes / n
     width = z * F.sqrt(p * (1 - p) / n)
-    return F.struct(F.greatest(F.lit(0.0), p - width).alias("lo"), F.least(F.lit(1.0), p + width).alias("hi"))
+    return _held(p - width, p + width)
 
 
 def exact_proportion(successes: Column, trials: Column, level: float = 0.95) -> Column:
@@ -241,8 +253,10 @@ def slope(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     c = F.col
     a, b = c(x).cast("double"), c(y).cast("double")
     out = df.where(a.isNotNull() & b.isNotNull()).groupBy(*by).agg(
-        F.regr_count(b, a).alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_r2(b, a).alias("r2"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy")
+        F.count(F.lit(1)).alias("n"), F.avg(a).alias("__mx"), F.avg(b).alias("__my"), F.regr_sxx(b, a).alias("sxx"), F.regr_syy(b, a).alias("syy"), F.regr_sxy(b, a).alias("__sxy")
     )
+    out = out.withColumn("slope", F.try_divide(c("__sxy"), F.nullif(c("sxx"), F.lit(0.0))))
+    out = out.withColumns({"intercept": c("__my") - c("slope") * c("__mx"), "r2": F.try_divide(c("slope") * c("__sxy"), F.nullif(c("syy"), F.lit(0.0)))}).drop("__mx", "__my", "__sxy")
     sse = F.greatest(F.lit(0.0), c("syy") - c("slope") * c("slope") * c("sxx"))
     out = out.withColumn("sse", sse).withColumn("se", F.sqrt(F.try_divide(F.try_divide(c("sse"), F.nullif(c("n") - 2, F.lit(0))), c("sxx"))))
     return out.withColumn("p", s.t_p_value(F.try_divide(c("slope"), c("se")), F.nullif(c("n") - 2, F.lit(0)).cast("double")))
@@ -368,7 +382,7 @@ def against_benchmark(df: DataFrame, benchmark: DataFrame, day: str, value: str)
     """One row: r, ratio of means and whether both slopes have the same sign, over the positions that both series have."""
     number = lambda t, c: t.select(F.row_number().over(Window.orderBy(day)).alias("__k"), F.col(value).cast("double").alias(c))
     both = number(df, "x").join(number(benchmark, "y"), "__k")
-    return both.agg(F.corr("x", "y").alias("r"), F.try_divide(F.avg("x"), F.avg("y")).alias("ratio"), (F.signum(F.regr_slope("x", "__k")) == F.signum(F.regr_slope("y", "__k"))).alias("same_direction"))
+    return both.agg(safe_corr(F.col("x"), F.col("y")).alias("r"), F.try_divide(F.avg("x"), F.avg("y")).alias("ratio"), (F.signum(F.regr_sxy("x", "__k")) == F.signum(F.regr_sxy("y", "__k"))).alias("same_direction"))
 
 
 def alignment(days: DataFrame, day: str, event: str, first: str, last: str, tolerance: int = 14) -> DataFrame:
@@ -383,4 +397,4 @@ def alignment(days: DataFrame, day: str, event: str, first: str, last: str, tole
 def decomposition_consistency(parts: DataFrame, by: Sequence[str], day: str, columns: Sequence[str], least: float = 0.7) -> DataFrame:
     """Smallest correlation between the seasonal parts of several methods (one column each), and whether it is over ``least``."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    return parts.groupBy(*by).agg(F.least(*(F.corr(a, b) for a, b in pairs), F.lit(1.0)).alias("smallest")).withColumn("is_consistent", F.col("smallest") > least)
+    return parts.groupBy(*by).agg(F.least(*(F.coalesce(safe_corr(F.col(a), F.col(b)), F.lit(0.0)) for a, b in pairs), F.lit(1.0)).alias("smallest")).withColumn("is_consistent", F.col("smallest") > least)

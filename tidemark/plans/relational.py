@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as m
 from ..operators import etl, joins, ranking
+from ..operators.stats import safe_corr
 from ..sources.tables import table
 from .views import (
     ARTICLE_DAYS, COMPANIES, DAILY_ORDERS, EDITS, READINGS, article_days, companies, daily_orders, edits, readings,
@@ -447,7 +448,7 @@ def views_editors_correlation(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "pageviews").where("timestamp is not null").groupBy(F.to_date("timestamp").alias("day")).agg(F.sum("views_total").alias("views"))
     e = table(spark, d, "revisions").where("timestamp is not null").groupBy(F.to_date("timestamp").alias("day")).agg(F.countDistinct("editor_id").alias("editors"))
     j = v.join(e, "day").where("views > 0")
-    return j.agg(F.count(F.lit(1)).alias("n"), r6(F.corr("views", "editors"), "r"), r6(F.avg(F.col("editors") * 1000.0 / F.col("views")), "ratio"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return j.agg(F.count(F.lit(1)).alias("n"), r6(safe_corr(F.col("views"), F.col("editors")), "r"), r6(F.avg(F.col("editors") * 1000.0 / F.col("views")), "ratio"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 @query("""WITH a AS (SELECT DISTINCT article AS title FROM revisions WHERE article IS NOT NULL), b AS (SELECT DISTINCT article AS title FROM pageviews WHERE article IS NOT NULL)
