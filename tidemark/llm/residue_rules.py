@@ -79,13 +79,13 @@ _STATUS = (
 )
 _SUBJECT = (
     r"(?:the|this|that|your|our) (?:\w+ ){0,2}?(?:page|report|file|site|service|application|app|server|article|chart|link|address|document|resource|content|request|view|viewer|dashboard|list|"
-    r"system|host|data|image|item|record|table|website|account|section|url|map|search|feed|connection)(?: you (?:are |were |have |['’]re )?(?:asked for|requested|entered|followed|looking for|want\w*|opened|clicked)(?: on)?)?"
+    r"system|host|data|image|item|record|table|website|account|section|url|map|search|feed|connection|summary|store|archive|database|index|gateway|backend|module|widget|player|picture|figure|template|form|query|result|download|stream|session|network|domain|preview|editor|tool|portal)s?(?: you (?:are |were |have |['’]re )?(?:asked for|requested|entered|followed|looking for|want\w*|opened|clicked)(?: on)?)?"
 )
 _FAILS = (
-    r"(?:(?:is|are) (?:not |no longer |temporarily |currently |now )*(?:found|available|unavailable|overloaded|blocked|down|offline|broken|missing|reachable|responding|closed|accessible)"
+    r"(?:(?:is|are) (?:not |no longer |temporarily |currently |now )*(?:found|available|unavailable|overloaded|blocked|down|offline|broken|missing|reachable|responding|closed|accessible|gone)"
     r"|(?:was|were|could|can|cannot|could not be|can not be|cannot be|can['’]t be|couldn['’]t be) ?(?:not )?(?:be )?(?:found|reached|loaded|displayed|opened|shown|processed)"
-    r"|(?:has|have) (?:been )?(?:removed|deleted|moved|renamed|expired|crashed|failed|timed out)|(?:does not|doesn['’]t|no longer|did not|didn['’]t|is not|isn['’]t) (?:exist|respond|load|work|answer|responding|loading|working)\w*"
-    r"|(?:returned|gave|sent) (?:an? )?(?:empty|invalid|unexpected|malformed|wrong|no)|(?:refused|closed|reset|dropped|lost|interrupted) (?:the|your) connection|timed out|failed to \w+|(?:took|is taking) too long|(?:ran|is) out of memory|crashed)\b"
+    r"|(?:has|have) (?:been )?(?:removed|deleted|moved|renamed|expired|crashed|failed|timed out)|(?:does not|doesn['’]t|no longer|did not|didn['’]t|is not|isn['’]t) (?:exist|respond|load|work|answer|reply|responding|loading|working)\w*"
+    r"|(?:returned|gave|sent) (?:an? )?(?:empty|invalid|unexpected|malformed|wrong|no)|(?:refused|closed|reset|dropped|lost|interrupted) (?:the|your) connection|timed out|failed to \w+|(?:has|have) (?:run into|encountered|hit) (?:a|an|some) (?:\w+ )?(?:problem|error|issue)|(?:took|is taking) too long|(?:ran|is) out of memory|crashed)\b"
 )
 _TAIL = r"[^.,;]{0,32}(?:, ?(?:error|code|status) \d+)?\s*(?:\([^()]{0,30}\))?\W*$"
 _ERROR = [
@@ -176,7 +176,7 @@ CUES = frozenset(
     b"javascript js ecmascript java script scripts scripting skripte skripten skript cookies segmentation keyerror valueerror typeerror render existe maintenant plus keine deleted gone".split()
 )
 #: Cues that ordinary sentences hold too; they count in short ones.
-WEAK = frozenset(b"written file n a name sans sin page found moved added empty down test code isn refused could gone reached removed type edit asked host file request checking loading text description summary".split())
+WEAK = frozenset(b"answer problem written file n a name sans sin page found moved added empty down test code isn refused could gone reached removed type edit asked host file request checking loading text description summary".split())
 
 
 #: Labels: none; one that rests on a slot or an empty value, and so does not hold for the same words with these filled in; one that holds for near-duplicates.
