@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import from_micros, micros
+from ..sources.written import written
 
 SECOND = 1_000_000
 
@@ -90,19 +91,21 @@ def sessions(
     marked = local.withColumn("__m", F.when(rise & F.col("__v").isNotNull() & (nth == 1), 1).otherwise(0)).withColumns(
         {"__a": F.min(F.when(rise, F.col("__t"))).over(whole_piece), "__b": F.max(F.when(rise, F.col("__t"))).over(whole_piece)}
     )
-    pieces = _close(marked, ["__u", "__c"], gap, ["__m"]).withColumns({"__p": F.struct("__c", "__closed"), "__k": F.lit(1)})
-    whole = _sweep(pieces.drop("__c", "__closed"), ["__u"], gap, ["__p", "__m", "__k"])
-    joined = _close(whole, ["__u"], gap, ["__m", "__k"])
+    pieces = _close(marked, ["__u", "__c"], gap, ["__m"])
+    kept = ["__m", "__end", "__last", "__pc", "__ps"]
+    swept = _sweep(pieces.withColumnsRenamed({"__c": "__pc", "__closed": "__ps"}), ["__u"], gap, kept)
+    # One row per piece with its session; three things below read it, so it is made once.
+    parts = written(swept.where("__d = 1").select("__u", "__closed", "__n", F.col("__t").alias("__start"), F.col("__e").alias("__first"), *kept))
+    joined = parts.groupBy("__u", "__closed").agg(
+        F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.sum("__n").alias("__n"), F.sum("__m").alias("__m"), F.min_by("__first", "__start").alias("__first"), F.max_by("__last", "__end").alias("__last")
+    )
     # Only pieces that reach an edge of their stretch of time can have been joined to others; their values are counted anew.
-    edge = (F.col("__a") - gap < F.col("__c") * piece) | (F.col("__b") + gap >= (F.col("__c") + 1) * piece)
-    seen = marked.where((F.col("__m") == 1) & edge).select("__u", F.col("__c").alias("__pc"), F.col("__closed").alias("__ps"), "__v")
-    where = whole.where("__d = 1").select("__u", F.col("__p.__c").alias("__pc"), F.col("__p.__closed").alias("__ps"), "__closed")
-    several = joined.where("__k > 1")
-    counts = seen.join(where.join(several.select("__u", "__closed"), ["__u", "__closed"], "left_semi"), ["__u", "__pc", "__ps"])
-    counts = counts.groupBy("__u", "__closed").agg(F.countDistinct("__v").alias("n_distinct"))
-    again = several.join(counts, ["__u", "__closed"], "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
-    single = joined.where("__k = 1").withColumn("n_distinct", F.col("__m").cast("long"))
-    return _named(single.unionByName(again), user, "n_distinct")
+    edge = lambda a, b, c: (F.col(a) - gap < F.col(c) * piece) | (F.col(b) + gap >= (F.col(c) + 1) * piece)
+    seen = marked.where((F.col("__m") == 1) & edge("__a", "__b", "__c")).select("__u", F.col("__c").alias("__pc"), F.col("__closed").alias("__ps"), "__v")
+    where = parts.where(edge("__start", "__end", "__pc")).select("__u", "__pc", "__ps", "__closed")
+    counts = seen.join(where, ["__u", "__pc", "__ps"]).groupBy("__u", "__closed").agg(F.countDistinct("__v").alias("__again"))
+    whole = joined.join(counts, ["__u", "__closed"], "left")
+    return _named(whole.withColumn("n_distinct", F.coalesce("__again", F.col("__m").cast("long"))), user, "n_distinct")
 
 
 def _named(joined: DataFrame, user: str, *more: str) -> DataFrame:
