@@ -64,7 +64,7 @@ def test_equal_fingerprints_are_majorities_of_shingle_bits():
 
 
 def test_units_are_sentences():
-    assert [u[0] for u in units("One two.  Three!\nFour | five\n\n—\n6.5 percent of it. " + "Seven eight nine ten eleven twelve.")] == ["One two.  Three!", "Four | five", "6.5 percent of it.", "Seven eight nine ten eleven twelve."]
+    assert [u[0] for u in units("One two.  Three!\nFour | five\n\n—\n6.5 percent of it. " + "Seven eight nine ten eleven twelve.")] == ["One two.", "Three!", "Four | five", "6.5 percent of it.", "Seven eight nine ten eleven twelve."]
 
 
 def test_empty_table(spark):

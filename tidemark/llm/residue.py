@@ -64,7 +64,7 @@ def units(text: str | None) -> list[tuple[str, list[bytes]]]:
     marked = any(c in text for c in "{<[@#_%$")
     found = []
     for line in text.splitlines():
-        for s in SENTENCE.split(line) if len(line) > 40 else (line,):
+        for s in SENTENCE.split(line):
             t = words(SLOT.sub(" slot0slot ", s) if marked and MARK.search(s) else s)
             if t:
                 found.append((s, t))

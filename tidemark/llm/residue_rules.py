@@ -14,7 +14,7 @@ _I = re.IGNORECASE
 #: The notations of templates.
 SLOT = re.compile(
     r"\{\{[^{}]{0,80}\}\}|\{%[^%{}]{0,120}%\}|[$#]\{[^{}]{1,60}\}|<%.{0,120}?%>|<\?(?:php|=).{0,120}?\?>"
-    r"|%(?:\d{1,2}\$)?[sdif](?![\w%])|%\([a-z_]+\)[sd]|\{\d{1,2}\}|\{[a-zA-Z_][a-zA-Z_.]{0,30}\}|\[object \w+\]|%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]{2,}__|@@\w+@@"
+    r"|%(?:\d{1,2}\$)?[sdif](?![\w%])|%\([A-Za-z_]+\)[sd]|\{\d{1,2}\}|\{[a-zA-Z_][a-zA-Z_.]{0,30}\}|\[object \w+\]|%[A-Z][A-Z_]{2,}%|__[A-Z][A-Z_]{2,}__|@@\w+@@"
     r"|\[\[?(?:[A-Z]+[ _])*(?:PLACEHOLDER|INSERT|TODO|TBD|YOUR|NAME|TITLE|DATE|TEXT|IMAGE|COMPANY|ARTICLE|SUMMARY|CONTENT|PLATZHALTER|TITEL)(?:[ _][A-Z]+)*\]?\]"
     r"|<<[A-Z][A-Z_ ]+>>|#{2,}[A-Z][A-Z_]+#{2,}|\[(?!(?:MASK|NOTE|EDIT|HTML|CITATION|NSFW|UPDATE|DELETED|SPOILER|UNK)\])[A-Z][A-Z_]{3,}\]"
     r"|\[(?:insert|your|enter|add|name of|company name|article title|date|title|insérer|votre|einfügen|insertar)\b[^\[\]]{0,40}\]|<(?:insert|your|enter|add|to be)\b[^<>]{0,40}>"
