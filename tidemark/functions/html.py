@@ -91,7 +91,7 @@ def _infobox(html: str | None) -> dict[str, str]:
     out = {}
     for row in box["rows"] if box else []:
         head, cell = (next((x for k, x in row if k == kind), None) for kind in ("th", "td"))
-        if head and cell is not None:
+        if head and cell:
             out[head] = cell
     return out
 

@@ -402,7 +402,7 @@ def edit_velocity(spark: SparkSession, d: str) -> DataFrame:
     return m.edit_velocity(edits(spark, d), "article", "timestamp", 24).withColumn("velocity", r6("velocity"))
 
 
-@query(f"WITH {EDITS}" + """ SELECT article, count(*) AS n, count(*) FILTER (regexp_matches(lower(coalesce(edit_summary, '')), 'revert|undo|undid|rv |rvv|vandal|spam|rollback')) AS flagged FROM edits GROUP BY 1""")
+@query(f"WITH {EDITS}" + """ SELECT article, count(*) AS n, count(*) FILTER (regexp_matches(lower(coalesce(edit_summary, '')), 'revert|undo|undid|rollback|rv |restore')) AS flagged FROM edits GROUP BY 1""")
 def summary_vandalism(spark: SparkSession, d: str) -> DataFrame:
     """Keywords in edit summaries."""
     return edits(spark, d).groupBy("article").agg(F.count(F.lit(1)).alias("n"), F.count_if(m.vandal_summary(F.col("edit_summary"))).alias("flagged"))
