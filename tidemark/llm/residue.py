@@ -20,7 +20,7 @@ gathered on the driver. Tables between rounds are written to the executors' shar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -44,17 +44,26 @@ BROADCAST_UNITS = 200_000
 _STEPS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDTH)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """64 bits of each word; forgotten when there are too many."""
+class _Words(dict):
+    """A number for each word; ``hashes`` has 64 bits of the word at its number. Forgotten when there are too many."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
 
     def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n >= len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros(len(self.hashes), np.uint64)))
+        self.hashes[n] = _seed(word)
+        return n
+
+    def of(self, words: Iterable[bytes]) -> np.ndarray:
         if len(self) > 1_000_000:
             self.clear()
-        h = self[word] = _seed(word)
-        return h
+        return self.hashes[np.array(list(map(self.__getitem__, words)), dtype=np.int64)]
 
 
-_hashes = _Hashes()
+_words = _Words()
 
 
 def units(text: str | None) -> list[tuple[str, list[bytes]]]:
@@ -73,7 +82,7 @@ def units(text: str | None) -> list[tuple[str, list[bytes]]]:
 
 def shingles(tokens: list[bytes]) -> np.ndarray:
     """Hashes of the five-word shingles of a unit; a shorter unit is one shingle."""
-    h = np.array([_hashes[w] for w in tokens], dtype=np.uint64)
+    h = _words.of(tokens)
     k = min(WIDTH, len(h))
     total = sum((h[i : len(h) - k + 1 + i] * _STEPS[i] for i in range(k)), np.zeros(len(h) - k + 1, np.uint64))
     return mixed(total)
@@ -82,7 +91,7 @@ def shingles(tokens: list[bytes]) -> np.ndarray:
 def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
     """The SimHash of each unit, all units at once; the same as the majority of the bits of ``shingles``."""
     lengths = np.array([len(t) for t in units_tokens])
-    h = np.array(list(map(_hashes.__getitem__, chain.from_iterable(units_tokens))), dtype=np.uint64)
+    h = _words.of(chain.from_iterable(units_tokens))
     padded = np.concatenate((h, np.zeros(WIDTH, np.uint64)))
     ends = np.cumsum(lengths)
     starts = ends - lengths
@@ -95,7 +104,10 @@ def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
         total[starts[some]] = sum((h[starts[some] + i] * _STEPS[i] for i in range(k)), np.zeros(len(some), np.uint64))
     n = np.maximum(lengths - WIDTH + 1, 1)
     bits = np.unpackbits(np.append(mixed(total), np.uint64(0)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    count = np.add.reduceat(bits, np.stack((starts, starts + n), axis=1).ravel(), axis=0, dtype=np.int32)[::2]
+    edges = np.stack((starts, starts + n), axis=1).ravel()
+    count = np.add.reduceat(bits, edges, axis=0, dtype=np.uint8)[::2].astype(np.int32)  # bytes add up fast
+    for i in np.flatnonzero(n > 255):  # where they would overflow
+        count[i] = bits[starts[i] : starts[i] + n[i]].sum(axis=0, dtype=np.int32)
     return np.packbits(count * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -187,9 +199,9 @@ def residue_documents(
     rows = docs.select(docs[doc_id].alias("__id"), docs[text].alias("__text")).where(F.col("__text").isNotNull())
     scanned = written(rows.mapInArrow(_scan, f"__id {kind}, unit int, print bigint, n int, trusted tinyint"))
     prints = written(
-        scanned.groupBy("print").agg(F.max("trusted").alias("trusted"), F.max("n").alias("n"), F.min(F.struct("__id", "unit")).alias("at"))
+        scanned.groupBy("print").agg(F.max("trusted").alias("trusted"), F.max("n").alias("n"), F.min("__id").alias("at"), F.min_by("unit", "__id").alias("nth"))
     )
-    front = prints.where(F.col("trusted") == SPREADS).select("print", "n", "at")
+    front = prints.where(F.col("trusted") == SPREADS).select("print", "n")
     labelled = prints.where("trusted > 0").select("print")
     for _ in range(most_rounds):
         asking = front.where(F.col("n") >= LEAST)
@@ -211,11 +223,11 @@ def residue_documents(
         if near.isEmpty():
             break
         asked = near.select("print").union(near.select("known")).distinct()
-        sets = written(_texts_of(prints.join(asked, "print").select("at.__id", "at.unit", "print"), rows))
+        sets = written(_texts_of(prints.join(asked, "print").select(F.col("at").alias("__id"), F.col("nth").alias("unit"), "print"), rows))
         a, b = sets, sets.select(F.col("print").alias("known"), F.col("shingles").alias("theirs"))
         shared = F.size(F.array_intersect("shingles", "theirs"))
         alike = shared >= F.lit(similarity) * (F.size("shingles") + F.size("theirs") - shared)
-        fresh = written(near.join(a, "print").join(b, "known").where(alike).select("print").distinct().join(prints, "print").select("print", "n", "at"))
+        fresh = written(near.join(a, "print").join(b, "known").where(alike).select("print").distinct().join(prints, "print").select("print", "n"))
         if fresh.isEmpty():
             break
         front, labelled = fresh, written(labelled.union(fresh.select("print")))

@@ -4,33 +4,31 @@ from __future__ import annotations
 
 import html
 import re
-import sys
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 LINKED = re.compile(r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]|\]\((?:[^()\s]*)\)")
 ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
-BREAKS = re.compile(r"[\W_]+")
 #: ASCII letters and digits in lower case; everything else ends a word, invisible controls do not.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _HIDDEN = bytes(b for b in [*range(0x20), 0x7F] if b not in b"\t\n\v\f\r\x1c\x1d\x1e\x1f")
 
 
-@lru_cache(maxsize=1)
-def _unseen() -> re.Pattern:
-    """Marks, format characters and controls: what stands in a word without being part of it."""
-    fillers = {0x115F, 0x1160, 0x3164, 0xFFA0}
-    spans, spaces = [], set("\t\n\v\f\r\x1c\x1d\x1e\x1f\x85")
-    for c in range(sys.maxunicode + 1):
-        if (unicodedata.category(chr(c)) in ("Mn", "Me", "Cf", "Cc") and chr(c) not in spaces) or c in fillers:
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]+")
+class _Fold(dict):
+    """What becomes of a character that is not ASCII: letters and digits stay, what stands in a word without being part of it goes, all else ends a word."""
+
+    def __missing__(self, code: int) -> int | None:
+        char = chr(code)
+        hidden = unicodedata.category(char) in ("Mn", "Me", "Cf", "Cc") and char not in SPACES or code in FILLERS
+        self[code] = None if hidden else code if char.isalnum() else 32
+        return self[code]
+
+
+#: Controls that are white space, and letters that show nothing.
+SPACES, FILLERS = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85", (0x115F, 0x1160, 0x3164, 0xFFA0)
+_fold = _Fold()
 
 
 def words(text: str | None) -> list[bytes]:
@@ -45,8 +43,10 @@ def words(text: str | None) -> list[bytes]:
         text = LINKED.sub(r" \1 ", text)
     if text.isascii():
         return text.encode().translate(_FOLD, _HIDDEN).split()
-    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
-    return BREAKS.sub(" ", _unseen().sub("", text)).encode("utf-8", "replace").split()
+    text = unicodedata.normalize("NFKD", text).casefold()
+    if not unicodedata.is_normalized("NFKD", text):
+        text = unicodedata.normalize("NFKD", text)
+    return text.translate(_fold).encode("utf-8", "replace").split()
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
