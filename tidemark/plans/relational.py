@@ -315,7 +315,7 @@ def top_ten(spark: SparkSession, d: str) -> DataFrame:
 def top_per_sector(spark: SparkSession, d: str) -> DataFrame:
     """Top ten of each group; Spark limits each partition's groups before the shuffle."""
     w = Window.partitionBy("sector").orderBy(F.desc("stars"), "company_id")
-    return companies(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 10").select("sector", "company_id", "stars", "k")
+    return companies(spark, d).withColumn("k", F.row_number().over(w).cast("long")).where("k <= 10").select("sector", "company_id", "stars", "k")
 
 
 # Articles

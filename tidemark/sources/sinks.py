@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,7 +39,7 @@ def load_version(spark: SparkSession, base: str, version: str | None = None, ver
     row = (listed.where(F.col("version") == version) if version else listed).first()
     if row is None:
         raise IntegrityError(f"no manifest of version {version} in {base}")
-    df = spark.read.schema(StructType.fromJson(__import__("json").loads(row.schema))).parquet(f"{base}/data/version={row.version}")
+    df = spark.read.schema(StructType.fromJson(json.loads(row.schema))).parquet(f"{base}/data/version={row.version}")
     if verify:
         now = checksum(df).first()
         if (now.n, now.checksum) != (row.n, row.checksum):
