@@ -11,15 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
 
-def global_rank(df: DataFrame, value: str, ties: Sequence[str], name: str = "rank", descending: bool = False, buckets: int = 64) -> DataFrame:
+
+def global_rank(df: DataFrame, value: str, ties: Sequence[str], name: str = "rank", descending: bool = False, buckets: int = 64, keep: bool = True) -> DataFrame:
     """Add ``name`` (1-based, no gaps) by ``value`` and then ``ties``, and ``n``, the number of ranked rows.
 
     Rows with a null value are left out. Equal values are told apart by ``ties``; a heavy
     value is one bucket, which is cut further by a hash of the ties only if it needs no order
-    among itself, so ties should be few or the rank of ties irrelevant.
+    among itself, so ties should be few or the rank of ties irrelevant. The rows are read three
+    times (edges, sizes, ranks); with ``keep`` they are made once and kept in the shared folder,
+    without it, as for a plain scan, they are read again.
     """
     rows = df.where(F.col(value).isNotNull())
+    rows = written(rows) if keep else rows
     shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     edges = rows.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10_000).alias("__edges"))
     cut = rows.crossJoin(F.broadcast(edges)).withColumn(
