@@ -81,6 +81,13 @@ def test_prefixes_share_nodes():
     assert len(e.last) == n + 1
 
 
+def test_a_very_long_word_is_not_kept(encoder, reference):
+    word = "".join(random.Random(5).choice("abcdeé日") for _ in range(300_000))
+    before = len(encoder.last)
+    assert ids_of(encoder, [word, "x " + word[:100_000] + " y"]) == [reference.encode_ordinary(word), reference.encode_ordinary("x " + word[:100_000] + " y")]
+    assert len(encoder.last) - before < 1000
+
+
 def test_null_and_empty_texts_give_empty_lists(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "a b", None), (3, "a b", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,8 +31,10 @@ WORDS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\
 #: A single space between two visible characters always begins a word, so texts may be cut there.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 RUN = re.compile(r" \s|\s ")
-#: Bounds of what a worker keeps: trie nodes, cached pieces, and the size of a piece worth keeping.
-NODES, PIECES, PIECE_CHARS = 1_500_000, 300_000, 48
+#: Bounds of what a worker keeps: trie nodes, cached pieces, the size of a piece worth keeping, and pairs of tokens (together some 200 MB).
+NODES, PIECES, PIECE_CHARS, PAIRS = 600_000, 300_000, 48, 500_000
+#: Longer words do not enter the trie.
+WORD_BYTES = 256
 #: Characters encoded in one go.
 GO = 2_000_000
 
@@ -55,7 +57,8 @@ class Encoder:
         spelled = {t: bytes(map(back.__getitem__, t)) for t in ids if all(c in back for c in t)}
         self.tokens = {b: ids[t] for t, b in spelled.items()}
         self.length = {i: len(b) for b, i in self.tokens.items()}
-        self.longest = max(self.length.values())
+        #: Everything a token can end with: tells how far back a token that ends here may begin.
+        self.endings = {b[k:] for b in self.tokens for k in range(len(b))}
         #: Order of the merge of two tokens, and of each token its last merge: order, left and right part.
         self.order: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -64,12 +67,12 @@ class Encoder:
             pair = (ids[a], ids[b])
             self.order[pair] = n
             self.made.setdefault(ids[a + b], (n, *pair))
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by left * 2^32 + right
         self.clear()
 
     def clear(self) -> None:
         """Forget all words; results do not depend on what is kept."""
-        self.child: dict[tuple[int, int], int] = {}
+        self.child: dict[int, int] = {}  # by node * 256 + byte
         self.last = array("i", [-1])  # the last token of the prefix at this node
         self.start = array("i", [0])  # the node where that token begins
         self.head: dict[str, bytes] = Pieces(self, "")
@@ -82,7 +85,7 @@ class Encoder:
         touch have a merge of their own, it must not come before the merge that next used up
         one of them, else it would have happened.
         """
-        known = self.follows.get((left, right))
+        known = self.follows.get(left << 32 | right)
         if known is not None:
             return known
         a, b, ok = left, right, True
@@ -103,31 +106,54 @@ class Encoder:
                 bound_b, b = made_b[0], made_b[1]
             else:  # the same merge on both sides: the left one happens first, so its parts are the older state
                 bound_b, b = made_b[0], made_b[1]
-        if len(self.follows) > 4_000_000:
+        if len(self.follows) > PAIRS:
             self.follows.clear()
-        self.follows[left, right] = ok
+        self.follows[left << 32 | right] = ok
         return ok
 
     def insert(self, word: bytes) -> int:
         """The node of a word; nodes and their states are made for the part that no word before shared."""
-        child, last, start, tokens, may = self.child, self.last, self.start, self.tokens, self.may_follow
+        child, last, start = self.child, self.last, self.start
         node, path = 0, [0]
         for i, byte in enumerate(word, 1):
-            following = child.get((node, byte))
+            following = child.get(node << 8 | byte)
             if following is None:
-                following = child[node, byte] = len(last)
-                for at in range(max(0, i - self.longest), i):
-                    token = tokens.get(word[at:i])
-                    if token is not None and (last[path[at]] < 0 or may(last[path[at]], token)) and self.whole(token):
-                        last.append(token)
-                        start.append(path[at])
-                        break
-                else:
-                    raise ValueError(f"the vocabulary has no encoding of {word[:i]!r}")
+                following = child[node << 8 | byte] = len(last)
+                at, token = self.final(word, i, lambda k: last[path[k]])
+                last.append(token)
+                start.append(path[at])
             node = following
             path.append(node)
         return node
 
+    def final(self, word: bytes, i: int, before: Callable[[int], int]) -> tuple[int, int]:
+        """Begin and number of the last token of the first i bytes; ``before`` gives the last token of a shorter prefix (-1: none)."""
+        tokens, endings, found = self.tokens, self.endings, []
+        at = i - 1
+        while at >= 0 and (piece := word[at:i]) in endings:
+            token = tokens.get(piece)
+            if token is not None:
+                found.append((at, token))
+            at -= 1
+        for at, token in reversed(found):
+            left = before(at)
+            if (left < 0 or self.may_follow(left, token)) and self.whole(token):
+                return at, token
+        raise ValueError(f"the vocabulary has no encoding of {word[max(0, i - 40) : i]!r}")
+
+    def long_ids(self, word: bytes) -> list[int]:
+        """The ids of a word too long to keep: the states of its own prefixes, in two plain arrays, forgotten afterwards."""
+        last, start = array("i", [-1]), array("i", [0])
+        for i in range(1, len(word) + 1):
+            at, token = self.final(word, i, last.__getitem__)
+            last.append(token)
+            start.append(at)
+        out, i = [], len(word)
+        while i:
+            out.append(last[i])
+            i = start[i]
+        return out[::-1]
+
     @lru_cache(maxsize=None)  # noqa: B019 - one encoder per worker
     def whole(self, token: int) -> bool:
         """Whether the token is the encoding of its own bytes: its two parts meet before anything across them."""
@@ -164,10 +190,9 @@ class Encoder:
     def learn(self, pieces: dict[str, bytes], texts: set[str]) -> None:
         """Cache the encodings of pieces: their distinct words go into the trie in byte order, that is depth first."""
         found = {t: [w.encode("utf-8", "replace") for w in WORDS.findall(pieces.prefix + t)] for t in texts}
-        nodes = {w: self.insert(w) for w in sorted(set(chain.from_iterable(found.values())))}
         encoded: dict[bytes, bytes] = {}
-        for w, node in nodes.items():
-            encoded[w] = array("i", self.ids(node)).tobytes()
+        for w in sorted(set(chain.from_iterable(found.values()))):
+            encoded[w] = array("i", self.ids(self.insert(w)) if len(w) <= WORD_BYTES else self.long_ids(w)).tobytes()
         for t, words in found.items():
             dict.__setitem__(pieces, t, b"".join([encoded[w] for w in words]))
 
