@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
+
 
 def topic_clusters(docs: DataFrame, doc_id: str, text: str, k: int = 8, features: int = 1000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Assignments (doc_id, cluster, confidence) and labels (cluster, size, label) by TF-IDF of words and pairs and k-means.
@@ -33,7 +35,7 @@ def topic_clusters(docs: DataFrame, doc_id: str, text: str, k: int = 8, features
         ]
     ).fit(rows)
     vocabulary = shaped.stages[4].vocabulary
-    vectors = shaped.transform(rows).select("__id", "features").persist()
+    vectors = written(shaped.transform(rows).select("__id", "features"))
     model = KMeans(k=k, seed=seed, maxIter=30).fit(vectors)
     centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
     placed = model.transform(vectors).select("__id", F.col("prediction").alias("cluster"), vector_to_array("features").alias("__v"))

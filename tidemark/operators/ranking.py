@@ -17,27 +17,32 @@ from ..sources.written import written
 def global_rank(df: DataFrame, value: str, ties: Sequence[str], name: str = "rank", descending: bool = False, buckets: int = 64, keep: bool = True) -> DataFrame:
     """Add ``name`` (1-based, no gaps) by ``value`` and then ``ties``, and ``n``, the number of ranked rows.
 
-    Rows with a null value are left out. Equal values are told apart by ``ties``; a heavy
-    value is one bucket, which is cut further by a hash of the ties only if it needs no order
-    among itself, so ties should be few or the rank of ties irrelevant. The rows are read three
-    times (edges, sizes, ranks); with ``keep`` they are made once and kept in the shared folder,
-    without it, as for a plain scan, they are read again.
+    Rows with a null value are left out. A value so frequent that it is an edge itself is a
+    bucket of its own, cut further at quantiles of the first of the ``ties`` if that is a
+    number. The rows are read three times (edges, sizes, ranks); with ``keep`` they are made
+    once and kept in the shared folder, without it, as for a plain scan, they are read again.
     """
     rows = df.where(F.col(value).isNotNull())
     rows = written(rows) if keep else rows
     shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    edges = rows.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10_000).alias("__edges"))
-    cut = rows.crossJoin(F.broadcast(edges)).withColumn(
-        "__b", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col(value).cast("double"))), F.lit(0))
-    ).drop("__edges")
-    sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    line = Window.orderBy(F.desc("__b") if descending else F.asc("__b"))  # one row per bucket
-    offsets = sizes.select(
-        "__b", (F.sum("__c").over(line) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("n")
+    v = F.col(value).cast("double")
+    numeric = bool(ties) and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    t = F.col(ties[0]).cast("double") if numeric else F.lit(0.0)
+    edges = rows.agg(F.percentile_approx(v, shares, 10_000).alias("__e"), F.percentile_approx(t, shares, 10_000).alias("__f"))
+    below = lambda edge, x: F.coalesce(F.size(F.filter(edge, lambda e: e < x)), F.lit(0))
+    is_edge = F.coalesce(F.array_contains("__e", v), F.lit(False))
+    cut = (
+        rows.crossJoin(F.broadcast(edges))
+        .withColumns({"__b": 2 * below("__e", v) + is_edge.cast("int"), "__c": F.when(is_edge, below("__f", t)).otherwise(0)})
+        .drop("__e", "__f")
     )
-    order = [F.desc(value) if descending else F.asc(value), *(F.asc(t) for t in ties)]
-    own = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return cut.withColumn("__r", own).join(F.broadcast(offsets), "__b").withColumn(name, F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
+    sizes = cut.groupBy("__b", "__c").agg(F.count(F.lit(1)).alias("__s"))
+    line = Window.orderBy(F.desc("__b") if descending else F.asc("__b"), "__c")  # one row per bucket
+    offsets = sizes.select("__b", "__c", (F.sum("__s").over(line) - F.col("__s")).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("n"))
+    order = [F.desc(value) if descending else F.asc(value), *(F.asc(x) for x in ties)]
+    own = F.row_number().over(Window.partitionBy("__b", "__c").orderBy(*order))
+    placed = cut.withColumn("__r", own).join(F.broadcast(offsets), ["__b", "__c"])
+    return placed.withColumn(name, F.col("__before") + F.col("__r")).drop("__b", "__c", "__r", "__before")
 
 
 def decile_by_count(rank: Column, n: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import quarter_label
+from ..sources.written import written
 from .ranking import latest, top_share
 
 
@@ -38,7 +39,7 @@ def recommendations(newest: DataFrame) -> DataFrame:
 
 def executive_report(log: DataFrame, most: int = 20) -> DataFrame:
     """One row with period, summary, the ``most`` best companies, trends by sector (map to days) and the ``most`` first recommendations."""
-    newest = latest(log, "company_id", "at").persist()
+    newest = written(latest(log, "company_id", "at"))
     board = newest.orderBy(F.desc("score"), "company_id").limit(most).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "company_id", "sector", "score"))).alias("leaderboard"))
     lines = trends(log).where("sector is not null").groupBy("sector").agg(F.sort_array(F.collect_list(F.struct("day", "score"))).alias("days"))
     by_sector = lines.agg(F.map_from_entries(F.collect_list(F.struct("sector", "days"))).alias("trends"))
