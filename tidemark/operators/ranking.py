@@ -45,6 +45,18 @@ def global_rank(df: DataFrame, value: str, ties: Sequence[str], name: str = "ran
     return placed.withColumn(name, F.col("__before") + F.col("__r")).drop("__b", "__c", "__r", "__before")
 
 
+def running_before(df: DataFrame, value: str, add: str, name: str, buckets: int = 64) -> DataFrame:
+    """Add ``name``: the sum of ``add`` over all rows with a smaller ``value``. Values are numbers, each in one row."""
+    rows = written(df)
+    v = F.col(value).cast("double")
+    edges = rows.agg(F.percentile_approx(v, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 10_000).alias("__e"))
+    cut = rows.crossJoin(F.broadcast(edges)).withColumn("__b", F.coalesce(F.size(F.filter("__e", lambda e: e < v)), F.lit(0))).drop("__e")
+    sums = cut.groupBy("__b").agg(F.sum(add).alias("__s"))
+    offsets = sums.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__before"))  # one row per bucket
+    own = F.sum(add).over(Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return cut.withColumn("__own", F.coalesce(own, F.lit(0))).join(F.broadcast(offsets), "__b").withColumn(name, F.col("__before") + F.col("__own")).drop("__b", "__own", "__before")
+
+
 def decile_by_count(rank: Column, n: Column) -> Column:
     """Decile 1 to 10 from an ascending 1-based rank: the share of rows before it, in tenths."""
     return F.least(F.lit(10), (F.floor((rank - 1) * 10 / n) + 1).cast("int"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as s
+from .ranking import running_before
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -79,9 +80,12 @@ def anova(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Value counts with the average rank of ties: value, ties, before, average_rank. One row per distinct value, so no row is ranked on its own."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    line = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("ties").over(line), F.lit(0))
-    return counts.withColumn("before", before).withColumn("average_rank", F.col("before") + (F.col("ties") + 1) / 2.0)
+    if by:  # a group's distinct values are one window
+        line = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("ties").over(line), F.lit(0)))
+    else:
+        counts = running_before(counts, value, "ties", "before")
+    return counts.withColumn("average_rank", F.col("before") + (F.col("ties") + 1) / 2.0)
 
 
 def rank_sums(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -217,7 +217,7 @@ def sector_anova(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT o_orderstatus AS g, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS k FROM x)
   SELECT count(*) FILTER (g = 'F') AS n_a, count(*) FILTER (g = 'O') AS n_b, round(sum(k) FILTER (g = 'F') - count(*) FILTER (g = 'F') * (count(*) FILTER (g = 'F') + 1) / 2.0, 3) AS u FROM r""")
 def rank_test(spark: SparkSession, d: str) -> DataFrame:
-    """X09, on rank sums over value counts. The global order is one window over distinct prices."""
+    """X09, on rank sums over value counts."""
     return stats.mann_whitney(table(spark, d, "orders"), "o_orderstatus", "F", "O", "o_totalprice").select("n_a", "n_b", F.round("u", 3).alias("u"))
 
 
