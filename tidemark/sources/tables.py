@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Read ``directory/name.parquet``. Times are read as UTC, whatever the session had before."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
