@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 #: White space as Unicode defines it, which is what the vocabulary's word pattern means by it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the published word pattern of this family of vocabularies.
@@ -263,6 +265,7 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     vocabulary file, readable on every executor.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
+    ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..sources.written import written
 from .leaks import _seed
 from .residue_rules import MARK, SLOT, SPREADS, trusted
@@ -194,7 +195,7 @@ def residue_documents(
     distance of candidates, ``similarity`` decides. Rounds end when one brings nothing new;
     ``most_rounds`` only guards against a loop and raises if it is reached.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(docs[doc_id].alias("__id"), docs[text].alias("__text")).where(F.col("__text").isNotNull())
     scanned = written(rows.mapInArrow(_scan, f"__id {kind}, unit int, print bigint, n int, trusted tinyint"))
