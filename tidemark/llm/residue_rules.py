@@ -8,6 +8,7 @@ speaks about such things, in a sentence of its own, is none.
 from __future__ import annotations
 
 import re
+from re import _parser
 
 _I = re.IGNORECASE
 
@@ -141,8 +142,89 @@ _ERROR = [
     r"(?:el |este )?(?:servicio|servidor|sitio)\b.{0,20} (?:no está disponible|no disponible|fuera de servicio|en mantenimiento|no responde)\b.{0,60}$",
     r"(?:acceso (?:denegado|prohibido)|en mantenimiento|estamos en mantenimiento|su sesión ha (?:caducado|expirado)|ha ocurrido un error|se ha producido un error|demasiadas solicitudes|¡?vaya!?)\b.{0,60}$",
 ]
-FILLER = re.compile("(?:" + "|".join(_FILLER) + ")", _I)
-ERROR = re.compile("(?:" + "|".join(_ERROR) + ")", _I)
+
+
+def _starts(parsed) -> tuple[set[str] | None, bool]:  # noqa: ANN001
+    """The characters that a match of a parsed rule can begin with, None for any, and whether it can be empty. Texts are stripped: no match begins with a space."""
+    found: set[str] = set()
+    for op, arg in parsed:
+        if op is _parser.AT:
+            continue
+        if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            chars, empty = _starts(arg[2])
+            empty = empty or arg[0] == 0
+        elif op is _parser.SUBPATTERN:
+            chars, empty = _starts(arg[-1])
+        elif op is _parser.BRANCH:
+            some = [_starts(b) for b in arg[1]]
+            chars, empty = None if any(c is None for c, _ in some) else set().union(*(c for c, _ in some)), any(e for _, e in some)
+        elif op is _parser.LITERAL:
+            chars, empty = {chr(arg)}, False
+        elif op is _parser.IN and all(o is _parser.LITERAL or o is _parser.RANGE or (o, v) == (_parser.CATEGORY, _parser.CATEGORY_SPACE) for o, v in arg):
+            chars, empty = {chr(c) for o, v in arg if o is not _parser.CATEGORY for c in ((v,) if o is _parser.LITERAL else range(v[0], v[1] + 1))}, False
+        else:
+            return None, False
+        if chars is None:
+            return None, False
+        found |= chars
+        if not empty:
+            return found, False
+    return found, True
+
+
+def _needs(parsed) -> set[str] | None:  # noqa: ANN001
+    """Strings of which every match of a parsed rule holds one, the longest such; None if there are none."""
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            found.append({run})
+            run = ""
+        if op is _parser.SUBPATTERN:
+            found.append(_needs(arg[-1]))
+        elif op is _parser.BRANCH:
+            some = [_needs(b) for b in arg[1]]
+            found.append(None if None in some else set().union(*some))
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0]:
+            found.append(_needs(arg[2]))
+    return max((n for n in found if n), key=lambda n: min(map(len, n)), default=None)
+
+
+def _folded(text: str) -> str:
+    """One form of what is equal without regard to case."""
+    return text.lower() if text.isascii() else text.upper().lower().replace("\u0307", "")
+
+
+def _dispatch(rules: list[str]) -> tuple[dict[str, re.Pattern], list[tuple[str, re.Pattern]]]:
+    """Derived from the rules: those that can match a text by its first character, and the others with a string that the text then holds."""
+    by: dict[str, list[str]] = {}
+    inside = []
+    for rule in rules:
+        parsed = _parser.parse(rule, _I.value)
+        chars = _starts(parsed)[0]
+        if chars is None:
+            inside += [(_folded(n), re.compile(rule, _I)) for n in sorted(_needs(parsed) or {""})]
+        else:
+            for c in {_folded(c)[:1] for c in chars}:
+                by.setdefault(c, []).append(rule)
+    return {c: re.compile("|".join(f"(?:{r})" for r in some), _I) for c, some in by.items()}, inside
+
+
+_BY_START, _INSIDE = _dispatch([*_FILLER, *_ERROR])
+
+
+def _ruled(text: str) -> bool:
+    """Whether a rule of filler or errors matches a text, which is stripped and not empty."""
+    low = _folded(text)
+    if (rules := _BY_START.get(low[:1])) and rules.match(text):
+        return True
+    for need, rule in _INSIDE:
+        if need in low and rule.match(text):
+            return True
+    return False
+
 
 _SCRIPT = re.compile(r"\b(?:java ?scripts?|JS|ECMAScript|scripts?|scripting|skripte?n?|cookies)\b", _I)
 _NEED = re.compile(
@@ -161,22 +243,11 @@ _TO_READER = re.compile(
 _LEAD = re.compile(r"^(?:[\s>*•·|=~\"'“„«¡⚠❗️ℹ✖!-]|#+ |(?:heads up|note|notice|warning|attention|sorry|hinweis|achtung|avis|aviso|atención|important)\s*[–—:!,.-]+\s*|\d{1,2}[.)] |\(?[a-z]\) |<(?!\?|%|to |insert|your|enter|add|noscript|html|!--)[^<>]{0,60}>)+", _I)
 PAST = re.compile(r"\b(?:was|were|rewritten|had|wurde|war|était|fue)\b", _I)
 LATIN = frozenset(b"lorem ipsum dolor amet velit massa porta tempus semper aliqua luctis integro nostro quam vestra consectetur adipiscing elit sed eiusmod tempor incididunt labore magna enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim".split())
-#: Characters and words without which no rule applies; they spare most segments the rules.
+#: Characters and words without which no rule of slots and values applies; they spare most segments these.
 _HINT = re.compile(r"[{}<\[$@]|%[\ds(A-Zdif]|__|##|\bNaN|\bnull\b|\bundefined\b")
 MARK = re.compile(r"[{<\[$@#%_]")
-SCRIPTS = frozenset(b"javascript js ecmascript java script scripts scripting skripte skripten skript cookies".split())
+SCRIPTS = frozenset(b"javascript javascripts js ecmascript java script scripts scripting skripte skripten skriptn skript cookies".split())
 VALUES = frozenset((b"nan", b"null", b"undefined"))
-CUES = frozenset(
-    b"lorem ipsum dolor amet goes click insert enter paste fill replace sample dummy placeholder example filler demo testing heading headline subheading title subtitle paragraph column item caption your "
-    b"tbd tba tbc todo fixme na xxx xxxx coming pending continued announced supplied determined completed confirmed filled blank soon shortly image photo beschreibung bild choose select pick max maximum write "
-    b"essai prueba asdf qwer qwert qwerty asdfg hjkl jkl zxcv yxcv foo bla blah eingeben einfugen eintragen erganzen ausfullen ersetzen hier platzhalter blindtext beispieltext mustertext folgt bearbeitung leer uberschrift titel inhalt "
-    b"inserez saisissez ecrivez entrez ajoutez tapez indiquez remplacez ici venir completer vide rediger remplissage titre texte legende contenu votre escriba introduzca inserte ingrese anada agregue escribe inserta reemplace sustituya aqui seccion relleno vacia vacio completar pendiente proximamente titulo texto contenido "
-    b"error errors http fehler erreur oops ooops uh whoops sorry couldn cannot unable offline unavailable maintenance wrong exception exist exists broken traceback fatal uncaught failed denied forbidden blocked restricted overloaded busy unreachable timeout timed limit quota gateway expired suspended verifying robot captcha server returned "
-    b"unauthorized unauthorised conflict doesn available crashed responding gefunden verfugbar existiert vorhanden hoppla ups huch serverfehler interner aufgetreten wartungsarbeiten zurzeit derzeit momentan vorubergehend zugriff zugang verweigert abgelaufen introuvable inexistante indisponible acces oups survenue produite encontrada encontrado encuentra disponible mantenimiento acceso vaya responde sesion solicitudes "
-    b"javascript js ecmascript java script scripts scripting skripte skripten skript cookies segmentation keyerror valueerror typeerror render existe maintenant plus keine deleted gone".split()
-)
-#: Cues that ordinary sentences hold too; they count in short ones.
-WEAK = frozenset(b"answer problem written file n a name sans sin page found moved added empty down test code isn refused could gone reached removed type edit asked host file request checking loading text description summary".split())
 
 
 #: Labels: none; one that rests on a slot or an empty value, and so does not hold for the same words with these filled in; one that holds for near-duplicates.
@@ -186,8 +257,6 @@ NONE, STAYS, SPREADS = 0, 1, 2
 def trusted(segment: str, tokens: list[bytes]) -> int:
     """The label of a segment that is residue beyond doubt, else NONE. ``tokens`` are its words (see ``words``)."""
     hinted = (MARK.search(segment) or not VALUES.isdisjoint(tokens)) and _HINT.search(segment)
-    if not hinted and CUES.isdisjoint(tokens) and (len(tokens) > 12 or WEAK.isdisjoint(tokens)) and not (len(tokens) > 3 and tokens[0] == tokens[1] == tokens[2]):
-        return NONE
     if hinted:
         slots = SLOT.findall(segment)
         if slots and not ABOUT_SLOT.search(SLOT.sub(" ", segment)):
@@ -195,12 +264,15 @@ def trusted(segment: str, tokens: list[bytes]) -> int:
         empty = EMPTY_VALUE.findall(segment)
         if empty and not ABOUT.search(segment) and (len(tokens) <= 7 or len(empty) > 1 and len(tokens) <= 7 * len(empty)):
             return STAYS
-    if len(tokens) > 5 and sum(t in LATIN for t in tokens) > max(2, 0.3 * len(tokens)):
+    if len(tokens) > 5 and not LATIN.isdisjoint(tokens) and sum(t in LATIN for t in tokens) > max(2, 0.3 * len(tokens)):
         return SPREADS
     if len(tokens) > 60 and len(set(tokens)) > 3:
         return NONE
-    text = _LEAD.sub("", segment).strip()
+    lead = _LEAD.match(segment)
+    text = (segment[lead.end() :] if lead else segment).strip()
+    if not text:
+        return NONE
     asks = len(tokens) <= 24 and not SCRIPTS.isdisjoint(tokens) and _SCRIPT.search(text) and _NEED.search(text) and _TO_READER.search(text) and not PAST.search(text)
-    if not text or not (FILLER.match(text) or ERROR.match(text) or asks):
+    if not asks and not _ruled(text):
         return NONE
     return NONE if ABOUT.search(text) and not text.lower().startswith(("lorem ipsum", "your ", "write ", "please ")) else SPREADS
