@@ -13,6 +13,28 @@ UNCUED = [
     "429 Too Many Requests", "Too many requests", "405 Method Not Allowed", "501 Not Implemented", "402 Payment Required", "Connection lost.", "Please wait...", "To be provided", "This section is under construction",
     "No se pudo cargar la página.", "El servidor está fuera de servicio", "Trop de requêtes", "Diese Seite gibt es nicht mehr.", "Nostrud ullamco laboris nisi aliquip commodo consequat.",
 ]
+#: Longer than a segment could once be: 24 words for a notice, 60 for the rest, up to 160 characters behind an error's name.
+LONG = [
+    "This page draws its charts with JavaScript, and as your browser has it switched off or blocked by an extension, please enable it for this site and load the page again.",
+    "Bitte aktivieren Sie JavaScript in den Einstellungen Ihres Browsers, da diese Seite ihre Karten, Tabellen und Verläufe erst auf Ihrem Gerät zeichnet und ohne Skripte nur eine leere Fläche zu sehen ist.",
+    "Traceback (most recent call last): " + 'File "/srv/app/tide.py", line 40, in load rows = fetch(path, limit) ' * 8 + "KeyError: 'summary'",
+    "java.lang.IllegalStateException: " + "at org.tide.Gauge.read(Gauge.java:41) " * 12,
+    "Uncaught TypeError: " + "at render (chart.js:12) " * 20,
+]
+LONG_CONTENT = [
+    "The harbour office rewrote its tables in JavaScript over two winters, and as every reader had asked for it, the page with the yearly heights of the old lock was the first one to be drawn on the device of the visitor.",
+    "A list of errors that the gauge has made since the storm is kept in the tower, where the keeper notes the hour, the height and the wind, and where a second keeper, who comes at noon, reads them aloud to whoever asks for them, so that none is lost in the years between one great flood and the next, as has happened before.",
+]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_length_alone_takes_no_label(text):
+    assert rules.trusted(text, words(text)) == rules.SPREADS
+
+
+@pytest.mark.parametrize("text", LONG_CONTENT)
+def test_long_content(text):
+    assert rules.trusted(text, words(text)) == rules.NONE
 
 
 def sample(parsed, rng, groups):

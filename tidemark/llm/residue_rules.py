@@ -103,11 +103,11 @@ _ERROR = [
     r"(?:the )?(?:requested )?(?:page|file|site|url|link|resource|document|address|content)(?: you(?: are|['’]re| were| have| requested| followed| wanted)?(?: looking for| requested| followed)?)? (?:not found|unavailable|is unavailable|cannot be|can['’]t be|could not be|couldn['’]t be|was not found|does not exist|doesn['’]t exist|no longer exists|is (?:probably )?(?:broken|missing)|has (?:been )?(?:moved|removed|deleted))\b.{0,60}$",
     r"something (?:went|has gone) wrong\b.{0,80}$",
     r"(?:an?|the) (?:unexpected |internal |unknown |unhandled |fatal |server )*(?:error|exception|problem) (?:has )?(?:occurred|happened)\b.{0,80}$",
-    r"(?:fatal|uncaught|unhandled|parse|internal|server|proxy|connection|database|application|runtime|syntax|gateway|network|critical|warning)(?: server)? (?:error|exception)\s*[:!.–-].{0,160}$",
-    r"error ?[:!]\s*.{0,100}$",
+    r"(?:fatal|uncaught|unhandled|parse|internal|server|proxy|connection|database|application|runtime|syntax|gateway|network|critical|warning)(?: server)? (?:error|exception)\s*[:!.–-]",
+    r"error ?[:!]",
     r"traceback \(most recent call last\)",
-    r"(?:\w+\.)*\w*(?:error|exception|warning): .{0,120}$",
-    r"(?:exception in thread|uncaught \w+|caused by:|segmentation fault|stack trace:|core dumped)\b.{0,160}$",
+    r"(?:\w+\.)*\w*(?:error|exception|warning): .",
+    r"(?:exception in thread\b|uncaught \w*(?:error|exception)\b|uncaught \w+\b.{0,160}$|caused by:|segmentation fault\b|stack trace:|core dumped\b)",
     r"(?:the )?(?:database|db|server|mysql|sql|redis)(?: server)? (?:connection|query|request) (?:has )?(?:failed|refused|error|timed out|lost)\b.{0,60}$",
     r"error establishing\b.{0,60}$",
     r"(?:access|permission) (?:is |was )?(?:denied|forbidden|blocked|restricted)\W",
@@ -266,13 +266,11 @@ def trusted(segment: str, tokens: list[bytes]) -> int:
             return STAYS
     if len(tokens) > 5 and not LATIN.isdisjoint(tokens) and sum(t in LATIN for t in tokens) > max(2, 0.3 * len(tokens)):
         return SPREADS
-    if len(tokens) > 60 and len(set(tokens)) > 3:
-        return NONE
     lead = _LEAD.match(segment)
     text = (segment[lead.end() :] if lead else segment).strip()
     if not text:
         return NONE
-    asks = len(tokens) <= 24 and not SCRIPTS.isdisjoint(tokens) and _SCRIPT.search(text) and _NEED.search(text) and _TO_READER.search(text) and not PAST.search(text)
+    asks = not SCRIPTS.isdisjoint(tokens) and _SCRIPT.search(text) and _NEED.search(text) and _TO_READER.search(text) and not PAST.search(text)
     if not asks and not _ruled(text):
         return NONE
     return NONE if ABOUT.search(text) and not text.lower().startswith(("lorem ipsum", "your ", "write ", "please ")) else SPREADS
