@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tidemark.llm.residue import fingerprints, residue_documents, shingles, units
@@ -69,3 +71,24 @@ def test_units_are_sentences():
 
 def test_empty_table(spark):
     assert residue_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_near_duplicate_is_found(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("bcdfgklmnprstvz", k=6))
+    rows, apart = [], []
+    for i in range(60):
+        known = ["your", "content", "here"] + [word() for _ in range(6 if i % 2 else 61)]
+        # 8 of 9 words: 4 of 5 shingles. A word changed in the middle of 64: 55 of 65.
+        other = known[1:] if i % 2 else [*known[:30], word(), *known[31:]]
+        far = known[2:] if i % 2 else [w if k % 20 else word() for k, w in enumerate(known)]
+        rows += [(3 * i, " ".join(known)), (3 * i + 1, " ".join(other)), (3 * i + 2, " ".join(far))]
+        apart.append(3 * i + 2)
+    got = {r.doc_id for r in residue_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    sets = {i: shingles(words(t)).tolist() for i, t in rows}
+    wanted = {i for i, _ in rows if i % 3 == 0}
+    while more := {i for i in sets if i not in wanted and any(like(sets[i], sets[j]) >= 0.8 for j in wanted)}:
+        wanted |= more
+    assert got == wanted
+    assert {i for i in sets if i % 3 == 1} <= got

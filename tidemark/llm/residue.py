@@ -7,13 +7,14 @@ label. Equal fingerprints are one unit from there on, so copies cost nothing fur
 Labels spread to near-duplicates: the fingerprints are kept in partitioned tables, one for
 each pair of the eight bytes of a fingerprint, keyed by these two bytes. Fingerprints that
 differ in at most six bits share a key for certain, others with a chance that falls with
-their distance. Pairs that meet are verified, first by Hamming distance, then by the exact
-Jaccard similarity of their shingles. Newly labelled units are the next front, until a round
+their distance. Pairs that the tables miss share one of the least shingles of both, as many of
+a unit as the similarity asked for makes certain (the prefix filter), so no pair is lost. Pairs that meet
+are verified by the exact Jaccard similarity of their shingles. Newly labelled units are the next front, until a round
 brings none: this walks the connected components that hold a trusted label, and only those. A
 label that rests on an unfilled slot does not spread: a near-duplicate without the slot is
 the template filled in, and one with it has a label of its own.
 
-Only the occupied keys of the front, a bitmap of fixed size whatever the corpus, are ever
+Only the occupied keys of the front, bitmaps of fixed size whatever the corpus, are ever
 gathered on the driver. Tables between rounds are written to the executors' shared folder.
 """
 
@@ -39,6 +40,8 @@ WIDTH = 5
 #: Below this number of words two units cannot be as similar as asked without being equal.
 LEAST = 8
 TABLES = tuple(combinations(range(8), 2))
+#: Bits of a shingle's hash that its place in the bitmap leaves out.
+SLOT_SHIFT = 43
 GO = 1_000_000
 #: Up to this many units are sent to every executor (some ten bytes each); more are joined by a shuffle.
 BROADCAST_UNITS = 200_000
@@ -89,8 +92,8 @@ def shingles(tokens: list[bytes]) -> np.ndarray:
     return mixed(total)
 
 
-def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
-    """The SimHash of each unit, all units at once; the same as the majority of the bits of ``shingles``."""
+def hashed(units_tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all units at once, where each unit's begin and how many it has; the same as ``shingles``."""
     lengths = np.array([len(t) for t in units_tokens])
     h = _words.of(chain.from_iterable(units_tokens))
     padded = np.concatenate((h, np.zeros(WIDTH, np.uint64)))
@@ -103,8 +106,33 @@ def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
     for k in range(1, WIDTH):  # a shorter unit's shingle must not reach into the next unit
         some = short[lengths[short] == k]
         total[starts[some]] = sum((h[starts[some] + i] * _STEPS[i] for i in range(k)), np.zeros(len(some), np.uint64))
-    n = np.maximum(lengths - WIDTH + 1, 1)
-    bits = np.unpackbits(np.append(mixed(total), np.uint64(0)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return mixed(total), starts, np.maximum(lengths - WIDTH + 1, 1)
+
+
+def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
+    """The SimHash of each unit, all units at once; the majority of the bits of ``shingles``."""
+    return _majorities(*hashed(units_tokens))
+
+
+def prefixes(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each unit the number of different shingles, the least of them by hash, one list after another, and how many there are of each.
+
+    There are as many as make sure that two units of this similarity or more share one.
+    """
+    unit = np.repeat(np.arange(len(n)), n)
+    h = hashes[np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)]
+    h = h[np.lexsort((h, unit))]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
+    h, unit = h[fresh], unit[fresh]
+    m = np.bincount(unit, minlength=len(n))
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(m) - m, m)
+    many = m - np.ceil(similarity * m - 1e-9).astype(np.int64) + 1
+    return m, h[rank < many[unit]], many
+
+
+def _majorities(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(np.append(hashes, np.uint64(0)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     edges = np.stack((starts, starts + n), axis=1).ravel()
     count = np.add.reduceat(bits, edges, axis=0, dtype=np.uint8)[::2].astype(np.int32)  # bytes add up fast
     for i in np.flatnonzero(n > 255):  # where they would overflow
@@ -112,35 +140,42 @@ def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
     return np.packbits(count * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, unit, print, n, trusted: of each text its different fingerprints once."""
-    for batch in batches:
-        texts, lo = batch.column(1), 0
-        while lo < len(texts):
-            hi, size, at, nth, listed, sure = lo, 0, [], [], [], []
-            while hi < len(texts) and size < GO:
-                text = texts[hi].as_py()
-                size += len(text or "")
-                for k, (s, t) in enumerate(units(text)):
-                    at.append(hi)
-                    nth.append(k)
-                    listed.append(t)
-                    sure.append(trusted(s, t))
-                hi += 1
-            lo = hi
-            if not listed:
-                continue
-            prints = fingerprints(listed).view(np.int64)
-            n = np.array([len(t) for t in listed], dtype=np.int32)
-            at, nth, sure = np.array(at), np.array(nth, dtype=np.int32), np.array(sure, dtype=np.int8)
-            order = np.lexsort((-sure, prints, at))
-            first = np.ones(len(order), bool)
-            first[1:] = (at[order][1:] != at[order][:-1]) | (prints[order][1:] != prints[order][:-1])
-            keep = order[first]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at[keep])), pa.array(nth[keep]), pa.array(prints[keep]), pa.array(n[keep]), pa.array(sure[keep])],
-                names=["__id", "unit", "print", "n", "trusted"],
-            )
+def _scan(similarity: float):  # noqa: ANN202
+    """doc, unit, print, n, trusted, and the number of different shingles with the least of them: of each text its different fingerprints once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lo = batch.column(1), 0
+            while lo < len(texts):
+                hi, size, at, nth, listed, sure = lo, 0, [], [], [], []
+                while hi < len(texts) and size < GO:
+                    text = texts[hi].as_py()
+                    size += len(text or "")
+                    for k, (s, t) in enumerate(units(text)):
+                        at.append(hi)
+                        nth.append(k)
+                        listed.append(t)
+                        sure.append(trusted(s, t))
+                    hi += 1
+                lo = hi
+                if not listed:
+                    continue
+                made = hashed(listed)
+                prints = _majorities(*made).view(np.int64)
+                m, least, many = prefixes(*made, similarity)
+                least = pa.ListArray.from_arrays(np.append(0, np.cumsum(many)).astype(np.int32), least.view(np.int64))
+                n = np.array([len(t) for t in listed], dtype=np.int32)
+                at, nth, sure = np.array(at), np.array(nth, dtype=np.int32), np.array(sure, dtype=np.int8)
+                order = np.lexsort((-sure, prints, at))
+                first = np.ones(len(order), bool)
+                first[1:] = (at[order][1:] != at[order][:-1]) | (prints[order][1:] != prints[order][:-1])
+                keep = order[first]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at[keep])), pa.array(nth[keep]), pa.array(prints[keep]), pa.array(n[keep]), pa.array(sure[keep]), pa.array(m[keep].astype(np.int32)), least.take(pa.array(keep))],
+                    names=["__id", "unit", "print", "n", "trusted", "m", "least"],
+                )
+
+    return make
 
 
 def _keys(prints: np.ndarray) -> np.ndarray:
@@ -163,6 +198,24 @@ def _entries(occupied: np.ndarray | None):  # noqa: ANN202
     return make
 
 
+def _least(occupied: np.ndarray | None):  # noqa: ANN202
+    """(key, print, m, rank) of the least shingles of every unit, or of those in places that are occupied."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, m = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            many = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(many)), many)
+            rank = (np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+            if occupied is not None:
+                some = np.flatnonzero(occupied[keys.view(np.uint64) >> np.uint64(SLOT_SHIFT)])
+                keys, row, rank = keys[some], row[some], rank[some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[row]), pa.array(m[row]), pa.array(rank)], names=["key", "print", "m", "rank"])
+
+    return make
+
+
 def _texts_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """print and the shingles of one unit with that fingerprint. ``wanted``: __id, unit, print."""
     lists = wanted.groupBy("__id").agg(F.collect_list(F.struct("unit", "print")).alias("units"))
@@ -192,13 +245,13 @@ def residue_documents(
     """doc_id and n_units of the documents that hold residue: units that are labelled, or near-duplicates of labelled ones.
 
     Null, empty and blank texts hold none. ``doc_id`` is unique. ``radius`` bounds the Hamming
-    distance of candidates, ``similarity`` decides. Rounds end when one brings nothing new;
+    distance of the tables' candidates, the prefix filter gives the others, ``similarity`` decides. Rounds end when one brings nothing new;
     ``most_rounds`` only guards against a loop and raises if it is reached.
     """
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(docs[doc_id].alias("__id"), docs[text].alias("__text")).where(F.col("__text").isNotNull())
-    scanned = written(rows.mapInArrow(_scan, f"__id {kind}, unit int, print bigint, n int, trusted tinyint"))
+    scanned = written(rows.mapInArrow(_scan(similarity), f"__id {kind}, unit int, print bigint, n int, trusted tinyint, m int, least array<bigint>"))
     prints = written(
         scanned.groupBy("print").agg(F.max("trusted").alias("trusted"), F.max("n").alias("n"), F.min("__id").alias("at"), F.min_by("unit", "__id").alias("nth"))
     )
@@ -209,18 +262,35 @@ def residue_documents(
         entries = asking.select("print", "n").mapInArrow(_entries(None), "key int, print bigint, n int")
         occupied = np.zeros(len(TABLES) << 16, bool)
         occupied[[r.key for r in entries.select("key").distinct().toLocalIterator()]] = True
-        if not occupied.any():
+        least = "key bigint, print bigint, m int, rank int"
+        theirs = written(scanned.join(front, "print", "left_semi").select("print", "m", "least").mapInArrow(_least(None), least).distinct())
+        slots = np.zeros(1 << 64 - SLOT_SHIFT, bool)
+        slots[[r.slot for r in theirs.select(F.shiftrightunsigned("key", SLOT_SHIFT).alias("slot")).distinct().toLocalIterator()]] = True
+        if not slots.any():
             break
-        others = prints.where((F.col("n") >= LEAST) & (F.col("trusted") == 0)).join(labelled, "print", "left_anti")
+        unlabelled = prints.where(F.col("trusted") == 0).join(labelled, "print", "left_anti")
         near = (
-            others.select("print", "n")
+            unlabelled.where(F.col("n") >= LEAST).select("print", "n")
             .mapInArrow(_entries(occupied), "key int, print bigint, n int")
             .join(entries.select("key", F.col("print").alias("known"), F.col("n").alias("m")), "key")
             .where((F.bit_count(F.col("print").bitwiseXOR(F.col("known"))) <= radius) & (F.col("n") >= similarity * F.col("m") - WIDTH) & (F.col("m") >= similarity * F.col("n") - WIDTH))
             .select("print", "known")
             .distinct()
         )
-        near = written(near)
+        # The least shingle that two units share leaves them as many more as follow it in both.
+        both = F.col("m") + F.col("their_m")
+        left = F.least(F.col("m") - F.col("rank"), F.col("their_m") - F.col("their_rank"))
+        sharing = (
+            scanned.select("print", "m", "least")
+            .mapInArrow(_least(slots), least)
+            .distinct()
+            .join(theirs.select("key", F.col("print").alias("known"), F.col("m").alias("their_m"), F.col("rank").alias("their_rank")), "key")
+            .where((left + 1e-6 >= both * (similarity / (1 + similarity))) & (F.col("print") != F.col("known")))
+            .select("print", "known")
+            .distinct()
+            .join(unlabelled, "print", "left_semi")
+        )
+        near = written(near.union(sharing).distinct())
         if near.isEmpty():
             break
         asked = near.select("print").union(near.select("known")).distinct()
