@@ -185,6 +185,18 @@ def test_short_and_missing_series(spark):
     assert models.smooth_trend(df, ["series"], "day", "value").count() == 2
 
 
+def test_structural_shifts_are_daily(spark, monkeypatch):
+    from tidemark.plans import models as plans
+
+    noise = np.random.default_rng(3).normal(0, 1, 400)
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=i), 100.0 + 40 * (i >= 300) + float(noise[i])) for i in range(400)]
+    daily = spark.createDataFrame(rows, "series string, day date, value double")
+    monkeypatch.setattr(plans, "daily_orders", lambda spark, d: daily)
+    found = plans.structural_shifts(spark, "").collect()
+    # The trend smooths the step; methods agree within seven days.
+    assert [abs(r.pos - 300) <= 7 and r.direction == "increase" for r in found] == [True]
+
+
 def test_spike_literals(spark):
     v = [100, 110, 105, 115, 120, 500, 520, 510, 125, 130, 135, 140, 145, 150, 155, 160, 165, 170, 175, 180]
     day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)

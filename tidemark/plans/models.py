@@ -124,9 +124,8 @@ def smooth_trends(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def structural_shifts(spark: SparkSession, d: str) -> DataFrame:
-    """Breaks of weekly means that methods agree on."""
-    weekly = daily_orders(spark, d).groupBy("series", F.to_date(F.date_trunc("week", "day")).alias("day")).agg(F.avg("value").alias("value"))
-    return models.changepoints(weekly, BY, "day", "value")
+    """Breaks of daily series that methods agree on."""
+    return models.changepoints(daily_orders(spark, d), BY, "day", "value")
 
 
 @query()
