@@ -6,11 +6,16 @@ from tidemark.llm.residue import fingerprints, residue_documents, shingles, unit
 from tidemark.llm.residue_rules import NONE, SPREADS, STAYS, trusted
 from tidemark.llm.words import words
 
-RESIDUE = [
+OPEN = [
     "Please enable JavaScript to view this page.", "You need to have JavaScript switched on in order to use this application.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Veuillez activer JavaScript pour afficher cette page.",
-    "Su navegador tiene los scripts desactivados y esta aplicación no puede cargarse.", "Heads up – This chart needs a browser that runs scripts.", "404 Not Found", "HTTP ERROR 503", "Error 500: internal server error.", "Access denied.", "Oops!", "Database connection failed.",
-    "The report you asked for is overloaded, error 17.", "This application has been removed or renamed.", "Wartungsarbeiten: Dieser Dienst ist zurzeit nicht erreichbar.", "Page introuvable.", "Lorem ipsum dolor sit amet", "Your content here.", "Title goes here", "TBD", "N/A",
-    "TODO: write intro", "(no image)", "asdf asdf qwer asdf", "text text text text text", "xxxx xxxx xxxx xxxx", "Titre de la section", "Überschrift hier eingeben", "Escriba aquí el resumen del artículo.", "to be written", "KeyError: 'summary'", "Traceback (most recent call last):",
+    "Su navegador tiene los scripts desactivados y esta aplicación no puede cargarse.", "Heads up – This chart needs a browser that runs scripts.", "The report you asked for is overloaded, error 17.", "This application has been removed or renamed.", "Title goes here",
+    "TODO: write intro", "asdf asdf qwer asdf", "text text text text text", "xxxx xxxx xxxx xxxx", "Überschrift hier eingeben", "Escriba aquí el resumen del artículo.", "Lead paragraph: to be written", "KeyError: 'summary'", "Sector: choose one",
+]
+#: Known only to the graph.
+KNOWN = [
+    "404 Not Found", "HTTP ERROR 503", "Error 500: internal server error.", "Access denied.", "Oops!", "Database connection failed.", "Wartungsarbeiten: Dieser Dienst ist zurzeit nicht erreichbar.", "Page introuvable.", "Lorem ipsum dolor sit amet", "Your content here.",
+    "TBD", "N/A", "(no image)", "Titre de la section", "to be written", "Traceback (most recent call last):", "429 Too Many Requests", "Too many requests", "405 Method Not Allowed", "501 Not Implemented", "402 Payment Required", "Connection lost.", "Please wait...", "To be provided",
+    "This section is under construction", "No se pudo cargar la página.", "El servidor está fuera de servicio", "Trop de requêtes", "Your address was blocked after 178 requests.", "<html><head><title>504 Gateway Timeout</title></head><body><h1>Gateway Timeout</h1><hr>edge-20</body></html>",
 ]
 SLOTS = ["Page {0} was viewed {1} times since {0}.", "Welcome back, %s!", "Rank NaN of undefined in sector undefined.", "The index of [insert company] stands at 4.", "Dear {{ name }}, your page was edited on {{ date }}.", "Figures for ###DATE### are late.", "<?php echo $x; ?>", "[[PLACEHOLDER]]"]
 CONTENT = [
@@ -21,11 +26,36 @@ CONTENT = [
 ]
 
 
-@pytest.mark.parametrize("text", RESIDUE)
-def test_residue(text):
+@pytest.mark.parametrize("text", OPEN)
+def test_open_forms(text):
     assert trusted(text, words(text)) == SPREADS
 
 
+def test_copies_of_known_texts(spark):
+    assert all(trusted(t, words(t)) == NONE for t in KNOWN)
+    forms = [f for t in KNOWN for f in (t, f"The tram ran 34 times a day.\n  * {t.upper()}\nHome | Search")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*forms, *CONTENT])], "doc_id long, text string")
+    got = {r.doc_id: r.step for r in residue_documents(docs).collect()}
+    assert got == dict.fromkeys(range(len(forms)), 1)
+
+
+def test_seeds_spread_in_rounds(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("bcdfgklmnprstvz", k=7))
+    chain = [[word() for _ in range(60)]]
+    for k in range(4):
+        chain.append([*chain[-1][: 8 * k + 3], word(), *chain[-1][8 * k + 4 :]])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(chain[1:])] + [(90, " ".join(word() for _ in range(60)))], "doc_id long, text string")
+    got = {r.doc_id: r.step for r in residue_documents(docs, seeds=[" ".join(chain[0])]).collect()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    sets, step, front = [shingles(w).tolist() for w in chain], {}, [0]
+    for n in range(2, 9):
+        front = [i for i in range(1, len(chain)) if i not in step and any(like(sets[i], sets[j]) >= 0.8 for j in front)]
+        step |= dict.fromkeys(front, n)
+    assert got == {i - 1: n for i, n in step.items()} and len(got) == 4 and max(got.values()) > 2
+    assert residue_documents(docs, seeds=[]).collect() == []
+
+
 @pytest.mark.parametrize("text", SLOTS)
 def test_slots(text):
     assert trusted(text, words(text)) == STAYS
@@ -37,13 +67,13 @@ def test_content(text):
 
 
 LONG = (
-    "Your content here will tell the readers of this archive of tide gauges and harbour lights what they came for so that whoever comes back "
+    "Title goes here, it will tell the readers of this archive of tide gauges and harbour lights what they came for so that whoever comes back "
     "in an hour or two will most likely find every table and every chart where it always was near the old lock"
 )
 
 
 def test_labels_spread_along_near_duplicates_only(spark):
-    second = LONG.replace("Your content", "What stands")
+    second = LONG.replace("Title goes", "What stands")
     third = second.replace("old lock", "new quay")
     slot = "Views of {{title}} rose by 12 percent between July and October of the year after the crossing was opened again to ships of every size and flag"
     rows = [
@@ -78,7 +108,7 @@ def test_every_near_duplicate_is_found(spark):
     word = lambda: "".join(rng.choices("bcdfgklmnprstvz", k=6))
     rows, apart = [], []
     for i in range(60):
-        known = ["your", "content", "here"] + [word() for _ in range(6 if i % 2 else 61)]
+        known = ["title", "goes", "here"] + [word() for _ in range(6 if i % 2 else 61)]
         # 8 of 9 words: 4 of 5 shingles. A word changed in the middle of 64: 55 of 65.
         other = known[1:] if i % 2 else [*known[:30], word(), *known[31:]]
         far = known[2:] if i % 2 else [w if k % 20 else word() for k, w in enumerate(known)]

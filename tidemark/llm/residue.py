@@ -1,55 +1,54 @@
 """Template residue, filler, error pages and script notices in a corpus.
 
-The units are the sentences of a text (a line without sentence end is one). Every unit gets
-a SimHash of its five-word shingles and, by the rules of ``residue_rules``, perhaps a trusted
-label. Equal fingerprints are one unit from there on, so copies cost nothing further.
-
-Labels spread to near-duplicates: the fingerprints are kept in partitioned tables, one for
-each pair of the eight bytes of a fingerprint, keyed by these two bytes. Fingerprints that
-differ in at most six bits share a key for certain, others with a chance that falls with
-their distance. Pairs that the tables miss share one of the least shingles of both, as many of
-a unit as the similarity asked for makes certain (the prefix filter), so no pair is lost. Pairs that meet
-are verified by the exact Jaccard similarity of their shingles. Newly labelled units are the next front, until a round
-brings none: this walks the connected components that hold a trusted label, and only those. A
-label that rests on an unfilled slot does not spread: a near-duplicate without the slot is
-the template filled in, and one with it has a label of its own.
-
-Only the occupied keys of the front, bitmaps of fixed size whatever the corpus, are ever
-gathered on the driver. Tables between rounds are written to the executors' shared folder.
+The units are the sentences of a text (a line without sentence end is one), compared without
+case, punctuation, accents and the digits of numbers. Every unit gets a SimHash of its five-word
+shingles; equal fingerprints are one unit from there on, so copies cost nothing further.
+
+Labels start from few units that are trusted: the known texts of ``residue_seeds``, which are
+units of the graph like any other, and units in one of the open forms of ``residue_rules``. They
+spread to near-duplicates. Fingerprints are kept in partitioned tables, keyed by two, three
+or four of their eight bytes, more the more units there are, so that a place in a table holds
+few units at any size. Fingerprints within the Hamming radius that meet in a table are candidates;
+pairs that the tables miss share one of the least shingles of both, as many of a unit as the
+similarity asked for makes certain (the prefix filter), so no pair is lost. Candidates
+are verified by the exact Jaccard similarity of their shingles. Newly labelled units are the
+next front, until a round brings none: this walks the connected components that hold a trusted
+label, and only those. A label that rests on an unfilled slot does not spread: a near-duplicate
+without the slot is the template filled in, and one with it has a label of its own.
+
+Only the occupied places of the front, bitmaps of fixed size whatever the corpus, are ever
+gathered on the driver. Tables between rounds are written to the executors' shared folder. Texts
+are never shuffled: to verify, the documents that hold a candidate are read again in place.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.written import written
 from .leaks import _seed
 from .residue_rules import MARK, SLOT, SPREADS, trusted
+from .residue_seeds import known_residue
 from .words import mixed, words
 
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
 WIDTH = 5
-#: Below this number of words two units cannot be as similar as asked without being equal.
-LEAST = 8
-TABLES = tuple(combinations(range(8), 2))
-#: Bits of a shingle's hash that its place in the bitmap leaves out.
-SLOT_SHIFT = 43
+#: Bits of a key or fingerprint by which its place in a bitmap is told, and of a document's place.
+PLACE_BITS, DOCUMENT_BITS = 24, 20
 GO = 1_000_000
-#: Up to this many units are sent to every executor (some ten bytes each); more are joined by a shuffle.
-BROADCAST_UNITS = 200_000
 _STEPS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDTH)], dtype=np.uint64)
 
 
 class _Words(dict):
-    """A number for each word; ``hashes`` has 64 bits of the word at its number. Forgotten when there are too many."""
+    """A number for each word; ``hashes`` has 64 bits of the word at its number, the same for all numbers in digits. Forgotten when there are too many."""
 
     def __init__(self) -> None:
         self.hashes = np.zeros(1 << 16, dtype=np.uint64)
@@ -58,7 +57,7 @@ class _Words(dict):
         n = self[word] = len(self)
         if n >= len(self.hashes):
             self.hashes = np.concatenate((self.hashes, np.zeros(len(self.hashes), np.uint64)))
-        self.hashes[n] = _seed(word)
+        self.hashes[n] = _seed(b"0" if word.isdigit() else word)
         return n
 
     def of(self, words: Iterable[bytes]) -> np.ndarray:
@@ -110,28 +109,32 @@ def hashed(units_tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
-    """The SimHash of each unit, all units at once; the majority of the bits of ``shingles``."""
-    return _majorities(*hashed(units_tokens))
+    """The SimHash of each unit, all units at once; the majority of the bits of its different ``shingles``."""
+    return _majorities(*different(*hashed(units_tokens)))
 
 
-def prefixes(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each unit the number of different shingles, the least of them by hash, one list after another, and how many there are of each.
-
-    There are as many as make sure that two units of this similarity or more share one.
-    """
+def different(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each unit in order, one list after another, and how many there are of each."""
     unit = np.repeat(np.arange(len(n)), n)
     h = hashes[np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)]
     h = h[np.lexsort((h, unit))]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
-    h, unit = h[fresh], unit[fresh]
-    m = np.bincount(unit, minlength=len(n))
+    return h[fresh], np.bincount(unit[fresh], minlength=len(n))
+
+
+def prefixes(h: np.ndarray, m: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each unit's different shingles, one list after another, and how many there are of each.
+
+    There are as many as make sure that two units of this similarity or more share one.
+    """
     rank = np.arange(len(h)) - np.repeat(np.cumsum(m) - m, m)
     many = m - np.ceil(similarity * m - 1e-9).astype(np.int64) + 1
-    return m, h[rank < many[unit]], many
+    return h[rank < np.repeat(many, m)], many
 
 
-def _majorities(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _majorities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    starts = np.cumsum(n) - n
     bits = np.unpackbits(np.append(hashes, np.uint64(0)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     edges = np.stack((starts, starts + n), axis=1).ravel()
     count = np.add.reduceat(bits, edges, axis=0, dtype=np.uint8)[::2].astype(np.int32)  # bytes add up fast
@@ -141,97 +144,127 @@ def _majorities(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.nda
 
 
 def _scan(similarity: float):  # noqa: ANN202
-    """doc, unit, print, n, trusted, and the number of different shingles with the least of them: of each text its different fingerprints once."""
+    """doc, print, trusted, and the number of different shingles with the least of them: of each text its different fingerprints once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lo = batch.column(1), 0
             while lo < len(texts):
-                hi, size, at, nth, listed, sure = lo, 0, [], [], [], []
+                hi, size, at, listed, sure = lo, 0, [], [], []
                 while hi < len(texts) and size < GO:
                     text = texts[hi].as_py()
                     size += len(text or "")
-                    for k, (s, t) in enumerate(units(text)):
+                    for s, t in units(text):
                         at.append(hi)
-                        nth.append(k)
                         listed.append(t)
                         sure.append(trusted(s, t))
                     hi += 1
                 lo = hi
                 if not listed:
                     continue
-                made = hashed(listed)
-                prints = _majorities(*made).view(np.int64)
-                m, least, many = prefixes(*made, similarity)
-                least = pa.ListArray.from_arrays(np.append(0, np.cumsum(many)).astype(np.int32), least.view(np.int64))
-                n = np.array([len(t) for t in listed], dtype=np.int32)
-                at, nth, sure = np.array(at), np.array(nth, dtype=np.int32), np.array(sure, dtype=np.int8)
+                at, sure = np.array(at), np.array(sure, dtype=np.int8)
+                prints, m, least = _described(listed, similarity)
                 order = np.lexsort((-sure, prints, at))
                 first = np.ones(len(order), bool)
                 first[1:] = (at[order][1:] != at[order][:-1]) | (prints[order][1:] != prints[order][:-1])
                 keep = order[first]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at[keep])), pa.array(nth[keep]), pa.array(prints[keep]), pa.array(n[keep]), pa.array(sure[keep]), pa.array(m[keep].astype(np.int32)), least.take(pa.array(keep))],
-                    names=["__id", "unit", "print", "n", "trusted", "m", "least"],
+                    [batch.column(0).take(pa.array(at[keep])), pa.array(prints[keep]), pa.array(sure[keep]), pa.array(m[keep]), least.take(pa.array(keep))],
+                    names=["__id", "print", "trusted", "m", "least"],
                 )
 
     return make
 
 
-def _keys(prints: np.ndarray) -> np.ndarray:
-    """The keys of fingerprints in all tables: the table's number and two bytes, as int."""
-    b = prints.view(np.uint8).reshape(-1, 8).astype(np.int32)
-    return np.stack([(t << 16) | (b[:, i] << 8) | b[:, j] for t, (i, j) in enumerate(TABLES)], axis=1)
+def _described(listed: list[list[bytes]], similarity: float) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Fingerprint, number of different shingles and the least of them, of each unit."""
+    h, m = different(*hashed(listed))
+    least, many = prefixes(h, m, similarity)
+    lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(many)).astype(np.int32), least.view(np.int64))
+    return _majorities(h, m).view(np.int64), m.astype(np.int32), lists
 
 
-def _entries(occupied: np.ndarray | None):  # noqa: ANN202
-    """(key, print, n) of every unit in every table, or in those places that are occupied."""
+def tables(n_units: int) -> tuple[tuple[int, ...], ...]:
+    """The bytes of a fingerprint that key each table: as many as give a place to each unit or so."""
+    return tuple(combinations(range(8), 2 if n_units <= 1 << 16 else 3 if n_units <= 1 << 24 else 4))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(prints), 50_000):
-                keys = _keys(np.ascontiguousarray(prints[lo : lo + 50_000]))
-                row, column = np.nonzero(occupied[keys]) if occupied is not None else map(np.ravel, np.indices(keys.shape))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row, column]), pa.array(prints[lo:][row]), pa.array(n[lo:][row])], names=["key", "print", "n"])
 
-    return make
+def _bit(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
 
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """The occupied places as bits; gathered on the driver, which a bitmap's fixed size bounds."""
+    seen = np.zeros(1 << PLACE_BITS, bool)
+    seen[places.distinct().toArrow().column(0).to_numpy().astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little")
 
-def _least(occupied: np.ndarray | None):  # noqa: ANN202
-    """(key, print, m, rank) of the least shingles of every unit, or of those in places that are occupied."""
+
+def _entries(bytes_of: tuple[tuple[int, ...], ...], similarity: float, occupied: np.ndarray | None):  # noqa: ANN202
+    """(key, print, m, rank) of every unit in every table (rank -1) and of its least shingles, or of those in places that are occupied.
+
+    Units with so few different shingles that all must be shared have none: their fingerprints would be equal.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, m = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            many = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(many)), many)
-            rank = (np.arange(len(keys)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
-            if occupied is not None:
-                some = np.flatnonzero(occupied[keys.view(np.uint64) >> np.uint64(SLOT_SHIFT)])
-                keys, row, rank = keys[some], row[some], rank[some]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[row]), pa.array(m[row]), pa.array(rank)], names=["key", "print", "m", "rank"])
+            for lo in range(0, batch.num_rows, 20_000):
+                some = batch.slice(lo, 20_000)
+                m = some.column(1).to_numpy()
+                some = some.filter(pa.array(m >= similarity * (m + 1) - 1e-9))
+                prints, m, lists = some.column(0).to_numpy(), some.column(1).to_numpy(), some.column(2)
+                b = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8).astype(np.uint64)
+                keys, row, rank = [], [], []
+                for t, chosen in enumerate(bytes_of):
+                    key = np.full(len(b), t, np.uint64)
+                    for c in chosen:
+                        key = key << np.uint64(8) | b[:, c]
+                    keys.append(mixed(key))
+                    row.append(np.arange(len(b)))
+                    rank.append(np.full(len(b), -1, np.int32))
+                many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                keys.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                row.append(np.repeat(np.arange(len(many)), many))
+                rank.append((np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32))
+                keys, row, rank = map(np.concatenate, (keys, row, rank))
+                if occupied is not None:
+                    kept = np.flatnonzero(_bit(occupied, keys >> np.uint64(64 - PLACE_BITS)))
+                    keys, row, rank = keys[kept], row[kept], rank[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(prints[row]), pa.array(m[row]), pa.array(rank)], names=["key", "print", "m", "rank"])
 
     return make
 
 
-def _texts_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """print and the shingles of one unit with that fingerprint. ``wanted``: __id, unit, print."""
-    lists = wanted.groupBy("__id").agg(F.collect_list(F.struct("unit", "print")).alias("units"))
+def _sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """print and the shingles of a unit with that fingerprint. ``asked``: print and ``at``, a document that holds it."""
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - DOCUMENT_BITS).cast("int")
+    held = asked.select(place("at").alias("__p")).distinct()  # places, not documents: 2^20 at most
+    wanted = _bitmap(asked.select(F.shiftrightunsigned("print", 64 - PLACE_BITS)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sets = [], []
-            for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = units(text)
-                for u in some:
-                    prints.append(u["print"])
-                    sets.append(np.unique(shingles(own[u["unit"]][1])).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["print", "shingles"])
+            for text in batch.column(0).to_pylist():
+                listed = [t for _, t in units(text)]
+                if not listed:
+                    continue
+                prints = fingerprints(listed)
+                some = np.flatnonzero(_bit(wanted, prints >> np.uint64(64 - PLACE_BITS)))
+                sets = [np.unique(shingles(listed[k])).view(np.int64).tolist() for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(prints[some].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["print", "shingles"])
+
+    holders = rows.withColumn("__p", place("__id")).join(F.broadcast(held), "__p", "left_semi").select("__text")
+    return holders.mapInArrow(cut, "print bigint, shingles array<bigint>").groupBy("print").agg(F.min("shingles").alias("shingles"))
 
-    few = wanted.count() <= BROADCAST_UNITS
-    return rows.join(F.broadcast(lists) if few else lists, "__id").select("__text", "units").mapInArrow(cut, "print bigint, shingles array<bigint>")
+
+def _seed_units(spark: SparkSession, seeds: Sequence[str], similarity: float) -> DataFrame:
+    """The units of the seeds; as many rows as the stated list gives."""
+    listed = [t for s in seeds for _, t in units(s)]
+    kind = "print bigint, m int, least array<bigint>, shingles array<bigint>"
+    if not listed:
+        return spark.createDataFrame([], kind)
+    prints, m, least = _described(listed, similarity)
+    rows = {int(p): (int(p), int(k), x, np.unique(shingles(t)).view(np.int64).tolist()) for p, k, x, t in zip(prints, m, least.to_pylist(), listed, strict=True)}
+    return spark.createDataFrame(list(rows.values()), kind)
 
 
 def residue_documents(
@@ -240,68 +273,62 @@ def residue_documents(
     text: str = "text",
     similarity: float = 0.8,
     radius: int = 12,
-    most_rounds: int = 50,
+    seeds: Sequence[str] | None = None,
 ) -> DataFrame:
-    """doc_id and n_units of the documents that hold residue: units that are labelled, or near-duplicates of labelled ones.
-
-    Null, empty and blank texts hold none. ``doc_id`` is unique. ``radius`` bounds the Hamming
-    distance of the tables' candidates, the prefix filter gives the others, ``similarity`` decides. Rounds end when one brings nothing new;
-    ``most_rounds`` only guards against a loop and raises if it is reached.
+    """The documents that hold residue: doc_id, n_units (its different units with a label) and step.
+
+    ``step`` tells how a label reached the document first: 0 by an open form, 1 as a copy of a
+    seed, k + 1 in the k-th round over near-duplicates. ``seeds`` are known texts of residue, a
+    list of bounded size. Null, empty and blank texts hold none. ``doc_id`` is unique.
+    ``radius`` bounds the Hamming distance of the tables' candidates, the prefix filter gives the
+    others, ``similarity`` decides. Rounds go on until one brings nothing new. Work starts with the call:
+    tables between rounds are written before the result is asked for.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(docs[doc_id].alias("__id"), docs[text].alias("__text")).where(F.col("__text").isNotNull())
-    scanned = written(rows.mapInArrow(_scan(similarity), f"__id {kind}, unit int, print bigint, n int, trusted tinyint, m int, least array<bigint>"))
-    prints = written(
-        scanned.groupBy("print").agg(F.max("trusted").alias("trusted"), F.max("n").alias("n"), F.min("__id").alias("at"), F.min_by("unit", "__id").alias("nth"))
-    )
-    front = prints.where(F.col("trusted") == SPREADS).select("print", "n")
-    labelled = prints.where("trusted > 0").select("print")
-    for _ in range(most_rounds):
-        asking = front.where(F.col("n") >= LEAST)
-        entries = asking.select("print", "n").mapInArrow(_entries(None), "key int, print bigint, n int")
-        occupied = np.zeros(len(TABLES) << 16, bool)
-        occupied[[r.key for r in entries.select("key").distinct().toLocalIterator()]] = True
-        least = "key bigint, print bigint, m int, rank int"
-        theirs = written(scanned.join(front, "print", "left_semi").select("print", "m", "least").mapInArrow(_least(None), least).distinct())
-        slots = np.zeros(1 << 64 - SLOT_SHIFT, bool)
-        slots[[r.slot for r in theirs.select(F.shiftrightunsigned("key", SLOT_SHIFT).alias("slot")).distinct().toLocalIterator()]] = True
-        if not slots.any():
+    known = _seed_units(spark, known_residue() if seeds is None else seeds, similarity)
+    scanned = written(rows.mapInArrow(_scan(similarity), f"__id {kind}, print bigint, trusted tinyint, m int, least array<bigint>"))
+    prints = written(scanned.groupBy("print").agg(F.max("trusted").alias("trusted"), F.min("__id").alias("at")))
+    bytes_of = tables(prints.count())
+    copies = prints.where("trusted = 0").join(F.broadcast(known.select("print")), "print", "left_semi")
+    ruled = prints.where("trusted > 0")
+    labelled = ruled.select("print", F.lit(0).alias("step")).unionByName(copies.select("print", F.lit(1).alias("step")))
+    front = scanned.join(prints.where(F.col("trusted") == SPREADS), "print", "left_semi").select("print", "m", "least").unionByName(known.select("print", "m", "least"))
+    entry = "key bigint, print bigint, m int, rank int"
+    step = 1
+    while True:
+        theirs = written(front.mapInArrow(_entries(bytes_of, similarity, None), entry).distinct())
+        occupied = _bitmap(theirs.select(F.shiftrightunsigned("key", 64 - PLACE_BITS)))
+        if not occupied.any():
             break
-        unlabelled = prints.where(F.col("trusted") == 0).join(labelled, "print", "left_anti")
-        near = (
-            unlabelled.where(F.col("n") >= LEAST).select("print", "n")
-            .mapInArrow(_entries(occupied), "key int, print bigint, n int")
-            .join(entries.select("key", F.col("print").alias("known"), F.col("n").alias("m")), "key")
-            .where((F.bit_count(F.col("print").bitwiseXOR(F.col("known"))) <= radius) & (F.col("n") >= similarity * F.col("m") - WIDTH) & (F.col("m") >= similarity * F.col("n") - WIDTH))
-            .select("print", "known")
-            .distinct()
-        )
         # The least shingle that two units share leaves them as many more as follow it in both.
-        both = F.col("m") + F.col("their_m")
-        left = F.least(F.col("m") - F.col("rank"), F.col("their_m") - F.col("their_rank"))
-        sharing = (
+        m, their_m = F.col("m"), F.col("their_m")
+        left = F.least(m - F.col("rank"), their_m - F.col("their_rank"))
+        sharing = (F.col("rank") >= 0) & (F.col("their_rank") >= 0) & (left + 1e-6 >= (m + their_m) * (similarity / (1 + similarity)))
+        meeting = (F.col("rank") < 0) & (F.col("their_rank") < 0) & (F.bit_count(F.col("print").bitwiseXOR(F.col("known"))) <= radius)
+        near = written(
             scanned.select("print", "m", "least")
-            .mapInArrow(_least(slots), least)
+            .mapInArrow(_entries(bytes_of, similarity, occupied), entry)
             .distinct()
             .join(theirs.select("key", F.col("print").alias("known"), F.col("m").alias("their_m"), F.col("rank").alias("their_rank")), "key")
-            .where((left + 1e-6 >= both * (similarity / (1 + similarity))) & (F.col("print") != F.col("known")))
+            .where((sharing | meeting) & (F.least(m, their_m) + 1e-6 >= F.lit(similarity) * F.greatest(m, their_m)) & (F.col("print") != F.col("known")))
             .select("print", "known")
             .distinct()
-            .join(unlabelled, "print", "left_semi")
+            .join(labelled, "print", "left_anti")
         )
-        near = written(near.union(sharing).distinct())
         if near.isEmpty():
             break
         asked = near.select("print").union(near.select("known")).distinct()
-        sets = written(_texts_of(prints.join(asked, "print").select(F.col("at").alias("__id"), F.col("nth").alias("unit"), "print"), rows))
+        sets = written(_sets(rows, prints.join(asked, "print").select("print", "at")).unionByName(known.select("print", "shingles")).dropDuplicates(["print"]))
         a, b = sets, sets.select(F.col("print").alias("known"), F.col("shingles").alias("theirs"))
         shared = F.size(F.array_intersect("shingles", "theirs"))
         alike = shared >= F.lit(similarity) * (F.size("shingles") + F.size("theirs") - shared)
-        fresh = written(near.join(a, "print").join(b, "known").where(alike).select("print").distinct().join(prints, "print").select("print", "n"))
+        fresh = written(near.join(a, "print").join(b, "known").where(alike).select("print").distinct())
         if fresh.isEmpty():
             break
-        front, labelled = fresh, written(labelled.union(fresh.select("print")))
-    else:
-        raise RuntimeError(f"labels still spread after {most_rounds} rounds")
-    return scanned.join(labelled, "print", "left_semi").groupBy(F.col("__id").alias(doc_id)).agg(F.count(F.lit(1)).alias("n_units"))
+        step += 1
+        front = scanned.join(fresh, "print", "left_semi").select("print", "m", "least")
+        labelled = written(labelled.unionByName(fresh.select("print", F.lit(step).alias("step"))))
+    return scanned.join(labelled, "print").groupBy(F.col("__id").alias(doc_id)).agg(F.count(F.lit(1)).alias("n_units"), F.min("step").alias("step"))

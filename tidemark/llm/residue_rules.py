@@ -1,8 +1,9 @@
-"""Which segments of a text are residue beyond doubt: the trusted labels that are propagated.
+"""Forms of residue with an open part, which no list of known texts can hold.
 
-Four kinds: unfilled slots, filler and instructions to an author, error and outage messages,
-notices that scripts are needed; in English, German, French and Spanish. A segment that
-speaks about such things, in a sentence of its own, is none.
+Unfilled slots, made-up Latin, instructions to an author, messages that something failed, names
+of errors, and notices that scripts are needed; in English, German, French and Spanish. A segment
+that speaks about such things, in a sentence of its own, is none. Messages without an open part
+are in ``residue_seeds`` and reach their copies through the graph of ``residue`` only.
 """
 
 from __future__ import annotations
@@ -36,48 +37,20 @@ ABOUT_SLOT = re.compile(
     _I,
 )
 
+#: Forms of filler with an open part; closed texts are seeds.
 _FILLER = [
-    r"lorem ipsum\b",
     r"(?:sub|head)?(?:title|line|ing|text|content|caption|summary|name|description|logo|image|photo|date|body|copy|quote)s?(?: text)? (?:goes|go|will go|comes) here",
-    r".{0,40}\b(?:text|content|title|name|summary|description|image|logo)s? (?:goes|go|will appear|will go) here\b.{0,10}$",
-    r"your (?:content|text|title|name|company|logo|message|headline|summary|article|image|paragraph)\b.{0,20}\b(?:here|goes)\b",
-    r"(?:please )?(?:insert|enter|write|type|put|paste|add|fill in) (?:an? |the |your |some |short )*\b.{0,40}\b(?:here|caption|title|date|summary|description|text|paragraph|name|headline|content|in this space|below)\b.{0,30}$",
-    r"(?:please )?insert \w+(?: \w+)?\.?$",
-    r"(?:double[- ])?click (?:here )?to (?:edit|add|change|enter)\b",
-    r"replace this\b.{0,40}\b(?:text|words?|content|paragraph|with)\b",
-    r"(?:sample|dummy|placeholder|example|filler|demo|test) (?:paragraph|text|page|content|title|heading|headline|article|post|entry|sentence)\b(?:[ .:,;!]|\d)*.{0,60}$",
-    r"(?:heading|headline|subheading|title|subtitle|paragraph|section title|column|item|label|caption) ?\d{1,2}\.?$",
-    r"(?:tbd|tba|tbc|todo|fixme|n/?a|xxx+|placeholder|coming soon|under construction|content pending|to be continued)\W*$",
+    r"(?:please )?(?:insert|enter|write|type|put|paste|add|fill in) (?:an? |the |your |some |short )*\b.{0,40}\b(?:here|in this space|below)\b.{0,30}$",
     r"(?:todo|fixme|tbd|xxx)\b ?[:(-].{0,80}$",
-    r"(?:todo|fixme|tbd)\b(?: \w+){1,4}\W*$",
-    r"(?:.{0,40}[:–-] ?)?<?(?:to be|will be) (?:written|added|announced|supplied|determined|completed|confirmed|filled in|provided|defined)(?: soon| later)?>?\W*$",
-    r"(?:this|the) (?:section|page|article|paragraph|chapter) (?:is|has been left) (?:empty|blank|still empty|under construction)\b",
-    r".{0,60}\bwill be (?:added|supplied|written|filled in|completed) (?:soon|later|shortly)\W*$",
-    r"\((?:no|kein|keine|sans|sin) (?:description|image|summary|title|text|content|photo|data|name|beschreibung|bild|titel|texte|titre|image|imagen|texto|título|descripción|résumé|resumen)\)\W*$",
     r"[\w ]{1,30}: (?:choose|select|pick) (?:one|an option|\w+)\W*$",
-    r".{0,60}\((?:max|maximum)\.? \d+ (?:characters|words|zeichen|caractères|caracteres)\)\W*$",
-    r"(?:test|testing|essai|prueba)(?: (?:test|testing|essai|prueba|\d+))+\b.{0,60}$",
-    r"(?:this is )?(?:just )?an? (?:test|dummy|placeholder|sample) (?:page|text|post|article|entry)\b.{0,30}$",
+    r"(?:.{0,40}[:–-] ?)<?(?:to be|will be) (?:written|added|announced|supplied|determined|completed|confirmed|filled in|provided|defined)(?: soon| later)?>?\W*$",
+    r".{1,60}\bwill be (?:added|supplied|written|filled in|completed) (?:soon|later|shortly)\W*$",
     r"(\w+)(?:[ ,.;–—-]+\1){3,}\W*$",
     r"(?:(?:asdf|qwer|qwert|qwerty|asdfg|hjkl|jkl|jklö|zxcv|yxcv|uiop|foo|bar|baz|bla|blah|xxx)[ ,.;]*){3,}$",
     r"(?:überschrift|titel|text|name|inhalt|beschreibung|zusammenfassung|bild|datum)\b.{0,20}\b(?:hier )?(?:eingeben|einfügen|eintragen|ergänzen)\W*$",
-    r"hier (?:steht|folgt|kommt|erscheint|entsteht)\b.{0,20}\b(?:später|bald|demnächst|noch|in kürze|ein text|der text|text)\b.{0,40}$",
-    r"(?:hier|bitte)\b.{0,40}\b(?:eingeben|einfügen|eintragen|ausfüllen|ersetzen)\W*$",
-    r"(?:platzhalter|blindtext|beispieltext|mustertext|text folgt|inhalt folgt|in bearbeitung)\b.{0,30}$",
-    r"(?:dieser|diese|dieses) (?:abschnitt|seite|artikel|kapitel) (?:ist (?:noch )?leer|wird (?:noch|bald|später|demnächst))\b.{0,40}$",
     r"(?:insérez|saisissez|écrivez|entrez|ajoutez|tapez|indiquez|remplacez)\b.{0,40}\b(?:ici|texte|titre|résumé|légende|date|description|nom|contenu)\b.{0,30}$",
-    r"(?:titre|texte|légende|contenu|votre texte|votre titre|résumé|nom|description) (?:de la section|de l'article|du paragraphe|ici|à venir|à compléter|à insérer)\W*$",
-    r"(?:cette|ce) (?:section|page|article|paragraphe) (?:est vide|sera (?:complétée?|ajoutée?|rédigée?))\b.{0,40}$",
-    r"(?:à compléter|à rédiger|à venir|texte de remplissage|faux texte)\W*$",
     r"(?:escriba|introduzca|inserte|ingrese|añada|agregue|escribe|inserta|reemplace|sustituya)\b.{0,40}\b(?:aquí|texto|título|resumen|fecha|descripción|nombre|contenido|imagen)\b.{0,30}$",
-    r"(?:título|texto|subtítulo|su texto|tu texto|contenido|resumen|descripción) (?:de la sección|del artículo|aquí|por añadir|de relleno|de ejemplo|pendiente)\W*$",
-    r"(?:esta|este) (?:sección|página|artículo|párrafo) (?:está vacía|está vacío|se completará|se añadirá)\b.{0,40}$",
-    r"(?:por completar|pendiente de redactar|texto de relleno|próximamente)\W*$",
 ]
-_STATUS = (
-    r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|too many requests|"
-    r"internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|moved permanently|unavailable for legal reasons)"
-)
 _SUBJECT = (
     r"(?:the|this|that|your|our) (?:\w+ ){0,2}?(?:page|report|file|site|service|application|app|server|article|chart|link|address|document|resource|content|request|view|viewer|dashboard|list|"
     r"system|host|data|image|item|record|table|website|account|section|url|map|search|feed|connection|summary|store|archive|database|index|gateway|backend|module|widget|player|picture|figure|template|form|query|result|download|stream|session|network|domain|preview|editor|tool|portal)s?(?: you (?:are |were |have |['’]re )?(?:asked for|requested|entered|followed|looking for|want\w*|opened|clicked)(?: on)?)?"
@@ -89,58 +62,15 @@ _FAILS = (
     r"|(?:returned|gave|sent) (?:an? )?(?:empty|invalid|unexpected|malformed|wrong|no)|(?:refused|closed|reset|dropped|lost|interrupted) (?:the|your) connection|timed out|failed to \w+|(?:has|have) (?:run into|encountered|hit) (?:a|an|some) (?:\w+ )?(?:problem|error|issue)|(?:took|is taking) too long|(?:ran|is) out of memory|crashed)\b"
 )
 _TAIL = r"[^.,;]{0,32}(?:, ?(?:error|code|status) \d+)?\s*(?:\([^()]{0,30}\))?\W*$"
+#: Forms of messages with an open part: what failed and how, the names of errors; closed texts are seeds.
 _ERROR = [
     _SUBJECT + " " + _FAILS + _TAIL,
-    rf"(?:http )?(?:error )?:?\s*[45]\d\d ?[:,.–—-]? ?{_STATUS}\b.{{0,80}}$",
-    rf"(?:http )?(?:error|fehler|erreur)(?: code)? ?:? ?[45]\d\d\b.{{0,80}}$",
-    rf"{_STATUS}\W*(?:error)?\W*(?:\(?[45]\d\d\)?)?\W*$",
-    r".{0,30}<title>\s*(?:error )?[45]\d\d\b.{0,300}$",
-    r"(?:o?oops|uh[- ]oh|whoops)\b[.!,…]",
-    r"(?:we're |we are )?sorry,? (?:but )?(?:the|this|we|that|your|an|you)\b.{0,60}\b(?:page|request|file|wrong|error|found|exist|unavailable|problem|access|blocked|moved)\b.{0,60}$",
-    r"we (?:could not|couldn['’]t|can['’]t|cannot|are unable to|were unable to) (?:find|load|show|display|open|process|complete|reach)\b.{0,60}$",
-    r"(?:we are|we're|this site is|the site is|this website is|the system is) (?:currently |temporarily )?(?:down|offline|unavailable|under maintenance|closed)\b.{0,60}$",
-    r"this (?:page|site|service|content|article|link|video|website|app|application) (?:isn['’]t|is not|is no longer|can['’]t|cannot|could not|couldn['’]t|does not|doesn['’]t|is (?:currently |temporarily )?(?:unavailable|down|offline))\b.{0,60}$",
-    r"(?:the )?(?:requested )?(?:page|file|site|url|link|resource|document|address|content)(?: you(?: are|['’]re| were| have| requested| followed| wanted)?(?: looking for| requested| followed)?)? (?:not found|unavailable|is unavailable|cannot be|can['’]t be|could not be|couldn['’]t be|was not found|does not exist|doesn['’]t exist|no longer exists|is (?:probably )?(?:broken|missing)|has (?:been )?(?:moved|removed|deleted))\b.{0,60}$",
-    r"something (?:went|has gone) wrong\b.{0,80}$",
-    r"(?:an?|the) (?:unexpected |internal |unknown |unhandled |fatal |server )*(?:error|exception|problem) (?:has )?(?:occurred|happened)\b.{0,80}$",
-    r"(?:fatal|uncaught|unhandled|parse|internal|server|proxy|connection|database|application|runtime|syntax|gateway|network|critical|warning)(?: server)? (?:error|exception)\s*[:!.–-]",
-    r"error ?[:!]",
-    r"traceback \(most recent call last\)",
-    r"(?:\w+\.)*\w*(?:error|exception|warning): .",
-    r"(?:exception in thread\b|uncaught \w*(?:error|exception)\b|uncaught \w+\b.{0,160}$|caused by:|segmentation fault\b|stack trace:|core dumped\b)",
-    r"(?:the )?(?:database|db|server|mysql|sql|redis)(?: server)? (?:connection|query|request) (?:has )?(?:failed|refused|error|timed out|lost)\b.{0,60}$",
-    r"error establishing\b.{0,60}$",
-    r"(?:access|permission) (?:is |was )?(?:denied|forbidden|blocked|restricted)\W",
-    r"(?:the |this )?(?:service|server|system|site|website|api|page) (?:is |was )?(?:temporarily |currently |momentarily )?(?:unavailable|down|overloaded|busy|offline|unreachable|not responding)\b.{0,60}$",
-    r"(?:the )?server (?:could not|couldn['’]t|cannot|can['’]t|did not|encountered|returned|refused|failed|is unable)\b.{0,80}$",
-    r"(?:too many requests|rate limit (?:exceeded|reached)|quota exceeded|request timed? ?-?out|connection (?:timed out|refused|reset|failed|lost)|gateway time-?out|bad gateway|request failed|request blocked|upstream \w+ (?:timed out|failed))\b.{0,80}$",
-    r"(?:your|this|the) (?:session|login|request|ip(?: address)?|address|access|account|connection) (?:has been|has|was|is|could not be) (?:expired|blocked|denied|timed out|suspended|rejected|refused|invalid|processed|interrupted)\b.{0,60}$",
-    r".{0,40}\b(?:down|closed|offline|unavailable) for (?:scheduled |planned )?maintenance\b.{0,60}$",
-    r"(?:scheduled|planned) maintenance[:.!]",
-    r"(?:loading|please wait)\s*(?:\.\.\.|…)\W*$",
-    r"(?:failed to (?:load|fetch|connect|open)|could not (?:load|connect|open)|unable to (?:load|connect|open|display))\b.{0,60}$",
-    r"(?:checking|verifying) (?:your browser|that you are (?:human|not a (?:ro)?bot)|you are human)\b",
-    r"(?:are you a robot|please (?:complete|solve) the captcha|verify you are human|i'm not a robot)\b",
-    r"(?:seite|datei|inhalt|artikel|adresse) (?:wurde )?(?:nicht gefunden|nicht verfügbar|existiert nicht)\b.{0,80}$",
-    r"(?:hoppla|ups|huch)\b[!.,…]",
+    r"(?:\w+\.)*\w+(?:error|exception|warning): .",
+    r"traceback \(most recent call last\): .",
+    r"(?:exception in thread\b|uncaught \w*(?:error|exception)\b|uncaught \w+\b.{0,160}$|caused by: .|stack trace: .)",
     r"(?:die|diese|der|das) (?:von ihnen )?(?:angeforderte |gesuchte |aufgerufene )?(?:seite|adresse|datei|inhalt|artikel)\b.{0,40}\b(?:nicht gefunden|gibt es nicht|existiert nicht|nicht (?:mehr )?(?:vorhanden|verfügbar|erreichbar))\b.{0,60}$",
-    r"(?:interner )?(?:server)?fehler ?[:!]? ?(?:\d{3}\b)?.{0,80}(?:aufgetreten|server|anfrage|verbindung|versuchen|gefunden|verfügbar).{0,40}$",
-    r"es ist ein (?:\w+ )?fehler aufgetreten\b.{0,60}$",
-    r"wartungsarbeiten\b ?[:.!–-]",
-    r".{0,60}\b(?:zurzeit|derzeit|momentan|vorübergehend) (?:leider )?(?:nicht (?:erreichbar|verfügbar)|gestört|außer betrieb)\b.{0,60}$",
-    r"(?:zugriff|zugang) (?:verweigert|gesperrt|nicht erlaubt)\b.{0,60}$",
-    r"(?:ihre )?sitzung (?:ist )?abgelaufen\b.{0,60}$",
-    r"(?:page|fichier|contenu|article|adresse) (?:introuvable|non trouvée?|inexistante?|indisponible)\b.{0,80}$",
-    r"erreur ?(?:\d{3}|:|interne|inattendue|serveur).{0,100}$",
     r"(?:la page|le contenu|la ressource|l['’]adresse|le fichier)(?: que vous\b.{0,25})?(?: demandée?)? (?:est introuvable|n['’]existe (?:pas|plus)|n['’]est (?:pas|plus) disponible)\b.{0,60}$",
-    r"(?:le |ce )?(?:service|serveur|site) (?:est )?(?:momentanément |temporairement |actuellement )?(?:indisponible|hors service|en maintenance|inaccessible)\b.{0,60}$",
-    r"(?:accès (?:refusé|interdit)|maintenance en cours|votre session a expiré|une erreur (?:est survenue|s['’]est produite)|trop de requêtes|oups)\b.{0,60}$",
-    r"(?:página|archivo|contenido|dirección) (?:no encontrad[ao]|no disponible|inexistente)\b.{0,80}$",
-    r"no se (?:encuentra|ha encontrado|encontró|puede mostrar|pudo cargar)\b.{0,80}$",
-    r"error ?(?:\d{3}|interno|inesperado|del servidor)\b.{0,100}$",
     r"(?:la página|el contenido|el recurso|la dirección)(?: que (?:busca|ha solicitado)\b)?.{0,20} (?:no existe|ya no (?:existe|está disponible)|no está disponible|no se encuentra)\b.{0,60}$",
-    r"(?:el |este )?(?:servicio|servidor|sitio)\b.{0,20} (?:no está disponible|no disponible|fuera de servicio|en mantenimiento|no responde)\b.{0,60}$",
-    r"(?:acceso (?:denegado|prohibido)|en mantenimiento|estamos en mantenimiento|su sesión ha (?:caducado|expirado)|ha ocurrido un error|se ha producido un error|demasiadas solicitudes|¡?vaya!?)\b.{0,60}$",
 ]
 
 
