@@ -6,6 +6,10 @@ from tidemark.llm.residue import fingerprints, residue_documents, shingles, unit
 from tidemark.llm.residue_rules import NONE, SPREADS, STAYS, trusted
 from tidemark.llm.words import words
 
+def label(text):
+    return max((trusted(s, t) for s, t in units(text)), default=NONE)
+
+
 OPEN = [
     "Please enable JavaScript to view this page.", "You need to have JavaScript switched on in order to use this application.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Veuillez activer JavaScript pour afficher cette page.",
     "Su navegador tiene los scripts desactivados y esta aplicación no puede cargarse.", "Heads up – This chart needs a browser that runs scripts.", "The report you asked for is overloaded, error 17.", "This application has been removed or renamed.", "Title goes here",
@@ -28,11 +32,11 @@ CONTENT = [
 
 @pytest.mark.parametrize("text", OPEN)
 def test_open_forms(text):
-    assert trusted(text, words(text)) == SPREADS
+    assert label(text) == SPREADS
 
 
 def test_copies_of_known_texts(spark):
-    assert all(trusted(t, words(t)) == NONE for t in KNOWN)
+    assert all(label(t) == NONE for t in KNOWN)
     forms = [f for t in KNOWN for f in (t, f"The tram ran 34 times a day.\n  * {t.upper()}\nHome | Search")]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*forms, *CONTENT])], "doc_id long, text string")
     got = {r.doc_id: r.step for r in residue_documents(docs).collect()}
@@ -58,12 +62,12 @@ def test_seeds_spread_in_rounds(spark):
 
 @pytest.mark.parametrize("text", SLOTS)
 def test_slots(text):
-    assert trusted(text, words(text)) == STAYS
+    assert label(text) == STAYS
 
 
 @pytest.mark.parametrize("text", CONTENT)
 def test_content(text):
-    assert trusted(text, words(text)) == NONE
+    assert label(text) == NONE
 
 
 LONG = (

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ..sources.written import written
 from .leaks import _seed
-from .residue_rules import MARK, SLOT, SPREADS, trusted
+from .residue_rules import MARK, SLOT, SLOTTED, SPREADS, trusted
 from .residue_seeds import known_residue
 from .words import mixed, words
 
@@ -44,6 +44,7 @@ WIDTH = 5
 #: Bits of a key or fingerprint by which its place in a bitmap is told, and of a document's place.
 PLACE_BITS, DOCUMENT_BITS = 24, 20
 GO = 1_000_000
+_SLOTTED = f" {SLOTTED.decode()} "
 _STEPS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDTH)], dtype=np.uint64)
 
 
@@ -77,7 +78,7 @@ def units(text: str | None) -> list[tuple[str, list[bytes]]]:
     found = []
     for line in text.splitlines():
         for s in SENTENCE.split(line):
-            t = words(SLOT.sub(" slot0slot ", s) if marked and MARK.search(s) else s)
+            t = words(SLOT.sub(_SLOTTED, s) if marked and MARK.search(s) else s)
             if t:
                 found.append((s, t))
     return found

@@ -1,6 +1,6 @@
 """Forms of residue with an open part, which no list of known texts can hold.
 
-Unfilled slots, made-up Latin, instructions to an author, messages that something failed, names
+Unfilled slots, made-up Latin, one word over and over, instructions to an author, messages that something failed, names
 of errors, and notices that scripts are needed; in English, German, French and Spanish. A segment
 that speaks about such things, in a sentence of its own, is none. Messages without an open part
 are in ``residue_seeds`` and reach their copies through the graph of ``residue`` only.
@@ -45,7 +45,6 @@ _FILLER = [
     r"[\w ]{1,30}: (?:choose|select|pick) (?:one|an option|\w+)\W*$",
     r"(?:.{0,40}[:–-] ?)<?(?:to be|will be) (?:written|added|announced|supplied|determined|completed|confirmed|filled in|provided|defined)(?: soon| later)?>?\W*$",
     r".{1,60}\bwill be (?:added|supplied|written|filled in|completed) (?:soon|later|shortly)\W*$",
-    r"(\w+)(?:[ ,.;–—-]+\1){3,}\W*$",
     r"(?:(?:asdf|qwer|qwert|qwerty|asdfg|hjkl|jkl|jklö|zxcv|yxcv|uiop|foo|bar|baz|bla|blah|xxx)[ ,.;]*){3,}$",
     r"(?:überschrift|titel|text|name|inhalt|beschreibung|zusammenfassung|bild|datum)\b.{0,20}\b(?:hier )?(?:eingeben|einfügen|eintragen|ergänzen)\W*$",
     r"(?:insérez|saisissez|écrivez|entrez|ajoutez|tapez|indiquez|remplacez)\b.{0,40}\b(?:ici|texte|titre|résumé|légende|date|description|nom|contenu)\b.{0,30}$",
@@ -173,11 +172,13 @@ _TO_READER = re.compile(
 _LEAD = re.compile(r"^(?:[\s>*•·|=~\"'“„«¡⚠❗️ℹ✖!-]|#+ |(?:heads up|note|notice|warning|attention|sorry|hinweis|achtung|avis|aviso|atención|important)\s*[–—:!,.-]+\s*|\d{1,2}[.)] |\(?[a-z]\) |<(?!\?|%|to |insert|your|enter|add|noscript|html|!--)[^<>]{0,60}>)+", _I)
 PAST = re.compile(r"\b(?:was|were|rewritten|had|wurde|war|était|fue)\b", _I)
 LATIN = frozenset(b"lorem ipsum dolor amet velit massa porta tempus semper aliqua luctis integro nostro quam vestra consectetur adipiscing elit sed eiusmod tempor incididunt labore magna enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim".split())
-#: Characters and words without which no rule of slots and values applies; they spare most segments these.
-_HINT = re.compile(r"[{}<\[$@]|%[\ds(A-Zdif]|__|##|\bNaN|\bnull\b|\bundefined\b")
 MARK = re.compile(r"[{<\[$@#%_]")
 SCRIPTS = frozenset(b"javascript javascripts js ecmascript java script scripts scripting skripte skripten skriptn skript cookies".split())
 VALUES = frozenset((b"nan", b"null", b"undefined"))
+#: The word that stands for a slot of a template.
+SLOTTED = b"slot0slot"
+#: Without one of these a segment is looked at for its form only.
+_TELLING = LATIN | SCRIPTS | VALUES | {SLOTTED}
 
 
 #: Labels: none; one that rests on a slot or an empty value, and so does not hold for the same words with these filled in; one that holds for near-duplicates.
@@ -185,22 +186,23 @@ NONE, STAYS, SPREADS = 0, 1, 2
 
 
 def trusted(segment: str, tokens: list[bytes]) -> int:
-    """The label of a segment that is residue beyond doubt, else NONE. ``tokens`` are its words (see ``words``)."""
-    hinted = (MARK.search(segment) or not VALUES.isdisjoint(tokens)) and _HINT.search(segment)
-    if hinted:
-        slots = SLOT.findall(segment)
-        if slots and not ABOUT_SLOT.search(SLOT.sub(" ", segment)):
-            return STAYS
+    """The label of a segment that is residue beyond doubt, else NONE. ``tokens`` are its words (see ``residue.units``)."""
+    telling = not _TELLING.isdisjoint(tokens)
+    if telling and SLOTTED in tokens and not ABOUT_SLOT.search(SLOT.sub(" ", segment)):
+        return STAYS
+    if telling and not VALUES.isdisjoint(tokens):
         empty = EMPTY_VALUE.findall(segment)
         if empty and not ABOUT.search(segment) and (len(tokens) <= 7 or len(empty) > 1 and len(tokens) <= 7 * len(empty)):
             return STAYS
-    if len(tokens) > 5 and not LATIN.isdisjoint(tokens) and sum(t in LATIN for t in tokens) > max(2, 0.3 * len(tokens)):
+    if telling and len(tokens) > 5 and not LATIN.isdisjoint(tokens) and sum(t in LATIN for t in tokens) > max(2, 0.3 * len(tokens)):
+        return SPREADS
+    if len(tokens) > 3 and tokens[0] == tokens[1] and len(set(tokens)) == 1:
         return SPREADS
     lead = _LEAD.match(segment)
     text = (segment[lead.end() :] if lead else segment).strip()
     if not text:
         return NONE
-    asks = not SCRIPTS.isdisjoint(tokens) and _SCRIPT.search(text) and _NEED.search(text) and _TO_READER.search(text) and not PAST.search(text)
+    asks = telling and not SCRIPTS.isdisjoint(tokens) and _SCRIPT.search(text) and _NEED.search(text) and _TO_READER.search(text) and not PAST.search(text)
     if not asks and not _ruled(text):
         return NONE
-    return NONE if ABOUT.search(text) and not text.lower().startswith(("lorem ipsum", "your ", "write ", "please ")) else SPREADS
+    return NONE if ABOUT.search(text) and not text.lower().startswith(("your ", "write ", "please ")) else SPREADS
