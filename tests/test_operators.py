@@ -160,7 +160,8 @@ def test_suspicious_readings_as_by_hand(spark, rows):
     rows = list({r[:3]: r for r in rows}.values())
     df = spark.createDataFrame([(a, at(None if d is None else d * 86_400), p, t, b, h) for a, d, p, t, b, h in rows + rows[:3]], "a string, x timestamp_ntz, p string, t long, b long, h long")
     out = spikes.suspicious_readings(df, ["a", "p"], "x", "t", "b", "h")
-    hit = out.where("implausible or is_stuck or (t_peak and t_above) or (b_peak and b_above)")
+    assert out.where("(t_above and not t_extreme and not t_untested) or (t is null and t_residual is not null)").count() == 0
+    hit = out.where("implausible or is_stuck or ((t_extreme or t_untested) and t_above) or ((b_extreme or b_untested) and b_above)")
     assert {(r.a, r.p, (r.day - T0.date()).days) for r in hit.collect()} == brute_suspicious(rows)
 
 
@@ -168,7 +169,8 @@ def test_tail_cutoff_flags_a_spike(spark):
     rows = [("a", at(d * 86_400), "d", 100 + (d * 7919) % 23, 10, 90 + (d * 7919) % 23) for d in range(70)]
     rows[40] = ("a", rows[40][1], "d", 390, 300, 90)
     df = spark.createDataFrame(rows, "a string, x timestamp_ntz, p string, t long, b long, h long")
-    out = spikes.suspicious_readings(df, ["a", "p"], "x", "t", "b", "h")
+    out = spikes.suspicious_readings(df, ["a", "p"], "x", "t", "b", "h", risk=0.001, over=0.1)
+    assert out.where("t_untested").count() == 0  # the fitted tail screens this source
     assert {r.day for r in out.where("t_extreme").collect()} == {rows[40][1].date()}
     assert spikes.suspicious_readings(df.limit(0), ["a", "p"], "x", "t", "b", "h").collect() == []
 

@@ -79,11 +79,11 @@ def _suspicious(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Readings that are implausible, stuck, or a peak of more than five medians."""
-    above = (F.col("views_total_peak") & F.col("views_total_above")) | (F.col("views_bot_peak") & F.col("views_bot_above"))
+    """Readings that are implausible, stuck, or over the fitted tail and five medians; where the tail cannot screen, the multiple alone decides."""
+    spike = lambda c: (F.col(f"{c}_extreme") | F.col(f"{c}_untested")) & F.col(f"{c}_above")
     return (
         _suspicious(spark, d)
-        .where(F.col("implausible") | F.col("is_stuck") | above)
+        .where(F.col("implausible") | F.col("is_stuck") | spike("views_total") | spike("views_bot"))
         .select("article", F.date_format("day", "yyyy-MM-dd").alias("day"), "device_type")
     )
 
@@ -151,6 +151,28 @@ rolled AS (SELECT *, sum(total) OVER w7 AS t7, sum(active) OVER w7 AS a7, sum(to
                   w30 AS (PARTITION BY article ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW))
 """
 
+#: The fitted tails of both counts, step by step as in ``spikes``.
+_TAILS = """
+WITH reading AS (SELECT article, CAST(timestamp AS DATE) AS day, device_type, max(views_total) AS t, max(views_bot) AS b
+                 FROM pageviews WHERE article IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1, 2, 3),
+long AS (SELECT article, day, device_type, which, CASE WHEN which = 't' THEN t ELSE b END AS c, CASE WHEN which = 't' THEN ln(greatest(t, 0) + 1.0) ELSE ln(greatest(b, 0) + 1.0) END AS l0
+         FROM reading, (VALUES ('t'), ('b')) w(which)),
+logs AS (SELECT *, CASE WHEN c IS NOT NULL THEN l0 END AS l FROM long),
+levels AS (SELECT *, median(l) OVER (PARTITION BY article, device_type, which) AS level FROM logs),
+seasons AS (SELECT *, median(l - level) OVER (PARTITION BY article, device_type, which, (day - DATE '1970-01-01') % 7) AS season FROM levels),
+residuals AS (SELECT *, l - level - season AS residual FROM seasons),
+sources AS (SELECT article, device_type, which, quantile_cont(residual, 0.6) AS u, count(residual) AS n FROM residuals GROUP BY 1, 2, 3),
+excesses AS (SELECT r.article, r.device_type, r.which, count(*) AS k, quantile_cont(residual - u, 0.5) AS q1, quantile_cont(residual - u, 0.75) AS q2
+             FROM residuals r JOIN sources s ON r.article = s.article AND r.device_type IS NOT DISTINCT FROM s.device_type AND r.which = s.which WHERE residual > u GROUP BY 1, 2, 3),
+shapes AS (SELECT s.*, k, q1, greatest(-0.5, least(0.5, log2(q2 / q1 - 1))) AS shape, 0.02 * n / k AS odds FROM sources s JOIN excesses e
+           ON s.article = e.article AND s.device_type IS NOT DISTINCT FROM e.device_type AND s.which = e.which WHERE k >= 5),
+tails AS (SELECT *, CASE WHEN abs(shape) < 1e-6 THEN u - q1 / ln(2.0) * ln(odds) ELSE u + q1 / (pow(2.0, shape) - 1) * (pow(odds, -shape) - 1) END AS cutoff FROM shapes),
+signs AS (SELECT r.*, cutoff FROM residuals r LEFT JOIN tails s ON r.article = s.article AND r.device_type IS NOT DISTINCT FROM s.device_type AND r.which = s.which)
+SELECT a.article, a.day, a.device_type, a.c AS views_total, z.c AS views_bot, round(a.residual, 6) AS views_total_residual, round(a.cutoff, 6) AS views_total_cutoff,
+       round(z.residual, 6) AS views_bot_residual, round(z.cutoff, 6) AS views_bot_cutoff
+FROM signs a JOIN signs z ON a.article = z.article AND a.day = z.day AND a.device_type IS NOT DISTINCT FROM z.device_type
+WHERE a.which = 't' AND z.which = 'b' AND (a.residual > a.cutoff OR z.residual > z.cutoff)"""
+
 _VERSIONS = """
 WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY id, updated_at ORDER BY snapshot_id DESC) AS k FROM company_snapshots WHERE updated_at IS NOT NULL),
 filled AS (SELECT id, updated_at, last_value(revenue_rank IGNORE NULLS) OVER w AS revenue_rank, last_value(employee_count IGNORE NULLS) OVER w AS employee_count
@@ -202,6 +224,7 @@ level AS (SELECT *, median(t) OVER s AS mt, median(b) OVER s AS mb, day - DATE '
 runs AS (SELECT *, count(*) OVER (PARTITION BY article, device_type, t, island) AS run FROM level)
 SELECT article, strftime(day, '%Y-%m-%d') AS day, device_type FROM runs
 WHERE t < 0 OR b < 0 OR h < 0 OR b > t OR t <> b + h OR t > 5 * mt OR b > 5 * mb OR (t IS NOT NULL AND run >= 5)""",
+    "p4_tails": _TAILS,
     "p5_found": _VERSIONS + "SELECT id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from FROM versions",
     "p5_history": _VERSIONS
     + """SELECT *, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from) AS valid_to,
