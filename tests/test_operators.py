@@ -210,17 +210,32 @@ def test_history_as_by_hand(spark, rows):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_merge_of_batches_ends_with_the_whole_history(spark):
+@FEW
+@given(st.lists(SNAPSHOT, max_size=30), st.integers(0, 30))
+def test_merge_is_the_rebuilt_history(spark, rows, cut):
+    """Batches in the order of loading hold several updates of an entity, late rows, corrections and nulls."""
+    rows = [(i, c, at(None if t is None else t * 86_400 * 9), a, b, "x") for i, (c, t, a, b) in enumerate(rows)]
+    schema = "s long, c string, t timestamp_ntz, a int, b int, valid_from string"
+    df = lambda some: spark.createDataFrame(some, schema)
+    args = ("c", "t", "s", ["a", "b"])
+    whole = sorted(map(str, history.attribute_history(df(rows), *args).collect()))
+    log, batch = rows[:cut], rows[cut:]
+    merged = history.merge_updates(history.attribute_history(df(log), *args), df(log), df(batch), *args, piece_days=20)
+    assert sorted(map(str, merged.collect())) == whole
+    assert sorted(map(str, history.merged_history(df(rows), *args, batches=4).collect())) == whole
+
+
+def test_several_updates_and_late_rows_of_one_batch(spark):
     schema = "s long, c string, t timestamp_ntz, a int, b int"
-    days = [[(1, "x", at(0), 1, 1), (2, "y", at(0), 5, None)], [(3, "x", at(86_400), 1, None), (4, "y", at(86_400), 6, 2)], [(5, "x", at(172_800), 2, 1), (6, "z", at(172_800), 9, 9), (7, "y", at(172_800), 6, 2)]]
-    whole = history.attribute_history(spark.createDataFrame(sum(days, []), schema), "c", "t", "s", ["a", "b"])
-    merged = history.attribute_history(spark.createDataFrame(days[0], schema), "c", "t", "s", ["a", "b"])
-    for batch in days[1:]:
-        merged = history.merge_snapshot(merged, spark.createDataFrame(batch, schema), "c", "t", "s", ["a", "b"])
-    key = ["c", "a", "b", "valid_from", "valid_to", "is_current"]
-    assert sorted(map(str, merged.select(*key).collect())) == sorted(map(str, whole.select(*key).collect()))
-    late = history.merge_snapshot(merged, spark.createDataFrame([(9, "x", at(5), 7, 7)], schema), "c", "t", "s", ["a", "b"])
-    assert late.count() == merged.count()
+    log = spark.createDataFrame([(1, "x", at(0), 1, 1), (2, "x", at(86_400 * 9), 1, None), (3, "y", at(5), 8, 8)], schema)
+    batch = spark.createDataFrame([(4, "x", at(10), 2, None), (5, "x", at(86_400 * 20), 5, 9), (6, "x", at(86_400 * 21), 6, None), (7, None, at(1), 1, 1)], schema)
+    args = ("c", "t", "s", ["a", "b"])
+    merged = history.merge_updates(history.attribute_history(log, *args), log, batch, *args)
+    got = sorted((r.c, r.a, r.b, r.valid_from, r.valid_to, r.is_current) for r in merged.collect())
+    times = [at(0), at(10), at(86_400 * 9), at(86_400 * 20), at(86_400 * 21), None]
+    values = [(1, 1), (2, 1), (1, 1), (5, 9), (6, 9)]
+    assert got == sorted([("x", *v, f, t, t is None) for v, f, t in zip(values, times, times[1:])] + [("y", 8, 8, at(5), None, True)])
+    assert history.merged_history(log.limit(0), *args).collect() == []
 
 
 # p6

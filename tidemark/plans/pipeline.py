@@ -100,20 +100,14 @@ def p4_tails(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _companies(spark: SparkSession, d: str, ends: bool) -> DataFrame:
-    return history.attribute_history(
-        table(spark, d, "company_snapshots"), "id", "updated_at", "snapshot_id", ["revenue_rank", "employee_count"], ends=ends
-    )
+def p5_history(spark: SparkSession, d: str) -> DataFrame:
+    """Every version with its period."""
+    return history.merged_history(table(spark, d, "company_snapshots"), "id", "updated_at", "snapshot_id", ["revenue_rank", "employee_count"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The start of every version."""
-    return _companies(spark, d, False).select("id", F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
-
-
-def p5_history(spark: SparkSession, d: str) -> DataFrame:
-    """Every version with its period."""
-    return _companies(spark, d, True)
+    return p5_history(spark, d).select("id", F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
 
 
 def p6_edit_features(spark: SparkSession, d: str) -> DataFrame:
