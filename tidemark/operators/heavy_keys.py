@@ -17,35 +17,35 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class State:
-    """A result that can be made in pieces: ``partial`` over the rows of a piece, ``stitch`` over the pieces' states."""
+    """A result that can be made in pieces: the aggregate ``make`` of a value over the rows of a piece, ``stitch`` over the pieces' states. Both are names of functions of pyspark.sql.functions."""
 
     name: str
-    partial: Column
-    stitch: str  # name of an aggregate function of pyspark.sql.functions
+    value: str | Column
+    make: str
+    stitch: str
 
 
 def count_rows(name: str) -> State:
-    return State(name, F.count(F.lit(1)), "sum")
+    return State(name, F.lit(1), "count", "sum")
 
 
-def total(name: str, column: str | Column) -> State:
-    """Sum as long; null where every value is null."""
-    column = F.col(column) if isinstance(column, str) else column
-    return State(name, F.sum(column.cast("long")), "sum")
+def total(name: str, column: str) -> State:
+    """Sum of whole numbers; null where every value is null."""
+    return State(name, column, "sum", "sum")
 
 
 def least(name: str, column: str) -> State:
-    return State(name, F.min(column), "min")
+    return State(name, column, "min", "min")
 
 
-def greatest(name: str, column: str) -> State:
-    return State(name, F.max(column), "max")
+def greatest(name: str, column: str | Column) -> State:
+    return State(name, column, "max", "max")
 
 
 def spread(rows: DataFrame, key: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
     """Range partition by key and order, so that no piece holds much more than its share.
 
-    Rows that tie in key and order are told apart by a hash of the whole row and by the
+    Rows that tie in key and order are told apart by a hash of all columns given and by the
     split they were read from, so not even a key whose rows are all alike stays together.
     """
     tie = [F.xxhash64(*rows.columns), F.spark_partition_id()]
@@ -62,9 +62,14 @@ def keyed_states(
     repeated rows all count. An empty table gives no rows. Columns that no state uses are
     not read or moved, whatever their names.
     """
-    pieced = spread(rows, key, order, pieces)
+    plain = [s.value for s in states if isinstance(s.value, str)]
+    named = list(dict.fromkeys([*key, *order, *plain]))
+    values = [s.value if isinstance(s.value, str) else f"__v{i}" for i, s in enumerate(states)]
+    # A constant is no column to move.
+    made = [s.value.alias(v) for s, v in zip(states, values, strict=True) if v not in plain and s.make != "count"]
+    pieced = spread(rows.select(*named, *made), key, order, pieces)
     partial = pieced.groupBy(*key, F.spark_partition_id().alias("__piece")).agg(
-        *(s.partial.alias(f"__{i}") for i, s in enumerate(states))
+        *(getattr(F, s.make)(s.value if s.make == "count" else v).alias(f"__{i}") for i, (s, v) in enumerate(zip(states, values, strict=True)))
     )
     return partial.groupBy(*key).agg(*(getattr(F, s.stitch)(f"__{i}").alias(s.name) for i, s in enumerate(states)))
 
@@ -74,7 +79,7 @@ def heavy_keys(rows: DataFrame, key: str, order: Sequence[str], share: float = 0
 
     A null key is no key, but its rows count in the whole.
     """
-    counts = keyed_states(rows.select(key, *order), [key], order, [count_rows("n_rows")])
+    counts = keyed_states(rows, [key], order, [count_rows("n_rows")])
     whole = counts.agg(F.sum("n_rows").alias("__all"))  # one row
     return (
         counts.crossJoin(F.broadcast(whole))

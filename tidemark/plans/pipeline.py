@@ -33,7 +33,7 @@ def p1_pageview_totals(spark: SparkSession, d: str) -> DataFrame:
     """Rows and views of every article in fact_pageviews; of a slot's loads the one with the greatest id counts."""
     h = heavy_keys
     slot = ["article_id", "date_id", "hour", "device_type"]
-    newest = h.State("x", F.max(F.struct("id", "views_total")), "max")
+    newest = h.greatest("x", F.struct("id", "views_total"))
     slots = h.keyed_states(table(spark, d, "fact_pageviews"), slot, ["id"], [h.count_rows("n"), newest])
     return slots.groupBy("article_id").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_slots"), F.sum(F.col("x.views_total").cast("long")).alias("views_total")
