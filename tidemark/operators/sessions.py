@@ -1,10 +1,11 @@
 """Sessions: the events of a user that follow each other within a gap.
 
 Sweep line: each event adds one at its time and takes one away a gap later; where the
-running sum returns to zero a session is closed. A user's events are swept in pieces of
-fixed length of time, so a user with a third of all rows is many small windows; the
-pieces' sessions are swept again per user. That second window holds at most one row per
-gap and piece of the time covered, however many events there are.
+running sum returns to zero a session is closed. Events are first joined to spans, one per user
+and stretch of a gap's length, by plain aggregation; the sweep per user then holds at most
+one span per gap of the time covered, however many events there are. Where values are
+counted in each session, a user's events are swept in pieces of fixed length of time, and the
+pieces' sessions again per user.
 """
 
 from __future__ import annotations
@@ -51,6 +52,23 @@ def _close(swept: DataFrame, keys: list[str], gap: int, sums: list[str] = ()) ->
     )
 
 
+def _spans(events: DataFrame, user: str, time: str, event_id: str, gap: int) -> DataFrame:
+    """One row per user and stretch of a gap's length: the events in it follow each other within the gap.
+
+    Events of a user are spread by their time, so that not even a burst stays together, and added up before and after the exchange.
+    """
+    once = (
+        events.select(F.col(user).alias("__u"), micros(time).alias("__t"), F.col(event_id).cast("long").alias("__e"))
+        .repartition("__u", "__t")
+        .distinct()
+        .groupBy("__u", "__t")
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__e").alias("__a"), F.max("__e").alias("__b"))
+    )
+    return once.groupBy("__u", F.floor(F.col("__t") / gap).alias("__c")).agg(
+        F.min("__t").alias("__start"), F.max("__t").alias("__end"), F.sum("__n").alias("__n"), F.min_by("__a", "__t").alias("__first"), F.max_by("__b", "__t").alias("__last")
+    ).drop("__c")
+
+
 def sessions(
     events: DataFrame,
     user: str,
@@ -64,26 +82,24 @@ def sessions(
 
     Events without user (null or empty) or time belong to none. Of the rows with the same
     user, time and id one counts; a null id counts once per user and time. At the same time
-    the smaller id comes first. ``n_distinct`` counts the non-null values of the column
+    the smaller id comes first, a null id gives way to others. ``n_distinct`` counts the non-null values of the column
     ``distinct`` in the session. An empty table gives no sessions.
     """
     gap, piece = gap_seconds * SECOND, piece_seconds * SECOND
-    extra = [F.col(distinct).alias("__v")] if distinct else []
+    known = events.where((F.col(user) != "") & F.col(time).isNotNull())
+    if not distinct:
+        return _named(_close(_sweep(_spans(known, user, time, event_id, gap), ["__u"], gap), ["__u"], gap), user)
     rows = (
-        events.where((F.col(user) != "") & F.col(time).isNotNull())
-        .select(F.col(user).alias("__u"), micros(time).alias("__start"), F.col(event_id).cast("long").alias("__first"), *extra)
+        known.select(F.col(user).alias("__u"), micros(time).alias("__start"), F.col(event_id).cast("long").alias("__first"), F.col(distinct).alias("__v"))
         .withColumn("__c", F.floor(F.col("__start") / piece))
         .repartition("__u", "__c")
     )
     once = (
         rows.groupBy("__u", "__c", "__start", "__first")
-        .agg(*([F.max("__v").alias("__v")] if distinct else [F.lit(1).alias("__one")]))
+        .agg(F.max("__v").alias("__v"))
         .withColumns({"__end": F.col("__start"), "__last": F.col("__first"), "__n": F.lit(1).cast("long")})
     )
-    local = _sweep(once, ["__u", "__c"], gap, ["__v"] if distinct else [])
-    if not distinct:
-        pieces = _close(local, ["__u", "__c"], gap)
-        return _named(_close(_sweep(pieces.drop("__c", "__closed"), ["__u"], gap), ["__u"], gap), user)
+    local = _sweep(once, ["__u", "__c"], gap, ["__v"])
     # A value counts in its piece where it comes first; all of this stays in the pieces' partitions.
     own, rise = ["__u", "__c", "__closed"], F.col("__d") == 1
     nth = F.row_number().over(Window.partitionBy(*own, "__v", "__d").orderBy("__t"))
