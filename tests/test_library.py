@@ -358,16 +358,57 @@ def test_circuit(spark, tmp_path):
     rows = [("s", t + dt.timedelta(seconds=i), True) for i in range(5)] + [("s", t + dt.timedelta(seconds=100 + i), False) for i in range(2)]
     spark.createDataFrame(rows, "service string, at timestamp, failed boolean").write.parquet(str(tmp_path / "in"))
     states = jobs.circuit_states(jobs.files(spark, str(tmp_path / "in"), "service string, at timestamp, failed boolean"), "service", "at", "failed")
-    out = jobs.run_to_end(states, "circuit_test", str(tmp_path / "state"))
+    out = jobs.run_to_end(states, checkpoint=str(tmp_path / "state"))
     assert [r.state for r in out.orderBy("at").collect()] == ["closed"] * 4 + ["open", "half_open", "closed"]
 
 
+def test_circuit_takes_events_in_order_of_time(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("s", t + dt.timedelta(seconds=i), i < 5) for i in range(9)]
+    spark.createDataFrame(rows[::-1], "service string, at timestamp, failed boolean").repartition(3).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        states = jobs.circuit_states(jobs.files(spark, str(tmp_path / "in"), "service string, at timestamp, failed boolean"), "service", "at", "failed")
+        got = [r.state for r in jobs.run_to_end(states).orderBy("at").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == ["closed"] * 4 + ["open"] * 5
+
+
+def test_streams_without_files_and_complete_results(spark, tmp_path):
+    schema = "k string, ts timestamp, v double"
+    (tmp_path / "none").mkdir()
+    assert jobs.run_to_end(jobs.files(spark, str(tmp_path / "none"), schema)).collect() == []
+    for part in range(3):
+        spark.createDataFrame([("a", dt.datetime(2024, 1, 1, part), 1.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = jobs.windowed_counts(jobs.files(spark, str(tmp_path / "in"), schema, per_trigger=1), "ts", ["k"], "v")
+    assert [(r.k, r.n, r.total) for r in jobs.run_to_end(counts, "complete").collect()] == [("a", 3, 3.0)]
+
+
+READS = ["SELECT 1", "WITH a AS (SELECT 1 x) SELECT * FROM a WHERE x IN (SELECT 2)", "FROM a SELECT x", "SHOW TABLES", "DESCRIBE t", "EXPLAIN SELECT 1", "VALUES (1)", "SELECT (SELECT max(x) FROM b) FROM a"]
+REFUSED = [
+    "", "DROP TABLE x", "SELECT (1", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1 x) INSERT INTO t SELECT * FROM a", "FROM a INSERT INTO t SELECT x", "FROM a INSERT INTO t SELECT x INSERT INTO u SELECT x", "INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT 1",
+    "CREATE TABLE t AS SELECT 1", "SET x=1", "CACHE TABLE t", "DELETE FROM t", "MERGE INTO a USING b ON a.x=b.x WHEN MATCHED THEN DELETE", "SELECT TRANSFORM(a) USING 'sh' FROM t", "SELECT reflect('java.lang.System', 'exit', 0)", "CALL x.y()", "BEGIN SELECT 1; END",
+]
+
+
 def test_query_text(spark):
     rows, audit = query_text.run(spark, "SELECT 1 AS x")
-    assert rows[0].x == 1 and audit["status"] == "ok"
-    for text in ("", "DROP TABLE x", "SELECT (1"):
-        with pytest.raises(query_text.QueryTextError):
-            query_text.check(spark, text)
+    assert rows[0].x == 1 and audit["status"] == "ok" and not audit["has_more"]
+    rows, audit = query_text.run(spark, "SELECT id FROM range(5)", most=2)
+    assert len(rows) == 2 and audit["has_more"]
+
+
+@pytest.mark.parametrize("text", READS)
+def test_texts_that_read(spark, text):
+    query_text.check(spark, text)
+
+
+@pytest.mark.parametrize("text", REFUSED)
+def test_texts_that_do_not(spark, text):
+    with pytest.raises(query_text.QueryTextError):
+        query_text.check(spark, text)
 
 
 def test_monitoring(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import html
 from ..operators import etl, graph, joins, learn, models, report
 from ..sources import landed, sinks
 from ..sources.tables import table
+from ..sources.written import scratch
 from ..streaming import jobs
 from .relational import r6
 from .views import DAILY_ORDERS, companies, daily_orders
@@ -182,41 +181,55 @@ def export_wide(spark: SparkSession, d: str) -> DataFrame:
     return sinks.export_wide(m, "id", "metric", "revenue_rank", names)
 
 
-@query(f"WITH {DAILY_ORDERS} SELECT count(*) AS n, count(DISTINCT series) AS series, round(sum(value), 2) AS total FROM daily")
+@query(f"WITH {DAILY_ORDERS} SELECT series, day, value FROM daily")
 def versioned_result(spark: SparkSession, d: str) -> DataFrame:
     """A result written, verified and read back."""
-    base = tempfile.mkdtemp(prefix="tidemark-versions-")
+    base = scratch(spark, "versions")
     sinks.save_version(daily_orders(spark, d), base, "v1")
-    return sinks.load_version(spark, base).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("series").alias("series"), F.round(F.sum("value"), 2).alias("total"))
+    return sinks.load_version(spark, base)
 
 
-@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """A stream of events counted by day; in complete mode it ends with what the table holds."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = jobs.files(spark, _folder(d, "events"), schema)
-    counts = jobs.windowed_counts(stream, "ts", ["event_type"], "value")
-    out = jobs.run_to_end(counts, "tidemark_daily_counts", tempfile.mkdtemp(prefix="tidemark-stream-"), "complete")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counts = jobs.windowed_counts(jobs.files(spark, _folder(d, "events"), schema), "ts", ["event_type"], "value")
+    return jobs.run_to_end(counts, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events")
+@query("SELECT event_id, ts, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_once(spark: SparkSession, d: str) -> DataFrame:
     """Repeats within the watermark are dropped."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     once = jobs.once_within(jobs.files(spark, _folder(d, "events"), schema), "ts", ["event_id"])
-    out = jobs.run_to_end(once.select("event_id"), "tidemark_once", tempfile.mkdtemp(prefix="tidemark-stream-"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"))
+    out = jobs.run_to_end(once.select("event_id", "ts", "user_id", "event_type"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
 
+_INGESTED = ["views_human", "views_bot", "views_total"]
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT article, timestamp, device_type FROM pageviews WHERE article IS NOT NULL AND trim(article) <> '' AND views_human >= 0 AND views_bot >= 0 AND views_total = views_human + views_bot AND device_type IN ('desktop', 'mobile-web', 'mobile-app'))")
+
+@query(f"""SELECT article, timestamp, device_type, {', '.join(f"arg_max({c}, fetched_at) AS {c}" for c in _INGESTED)} FROM pageviews WHERE trim(article) <> '' AND views_human >= 0 AND views_bot >= 0
+  AND views_total = views_human + views_bot AND device_type IN ('desktop', 'mobile-web', 'mobile-app') GROUP BY 1, 2, 3""")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Page views streamed through validation into a log, read as the current table."""
     schema = spark.read.parquet(f"{d}/pageviews.parquet").schema
-    target = tempfile.mkdtemp(prefix="tidemark-ingest-")
+    target, key = scratch(spark, "streams"), ["article", "timestamp", "device_type"]
+    stream = jobs.files(spark, _folder(d, "pageviews"), schema)
+    jobs.ingest(stream, etl.pageview_rules(), key, "fetched_at", f"{target}/out", f"{target}/state").awaitTermination()
+    return jobs.current(spark, f"{target}/out", key, "fetched_at").select(*key, *_INGESTED)
+
+
+@query("""SELECT article, timestamp, device_type, fetched_at, CASE WHEN article IS NULL OR trim(article) = '' THEN 'empty article' WHEN NOT coalesce(views_human >= 0 AND views_bot >= 0 AND views_total >= 0, false) THEN 'negative count'
+  WHEN NOT coalesce(views_total = views_human + views_bot, false) THEN 'total mismatch' ELSE 'unknown device' END AS reason FROM pageviews
+  WHERE NOT coalesce(trim(article) <> '' AND views_human >= 0 AND views_bot >= 0 AND views_total >= 0 AND views_total = views_human + views_bot AND device_type IN ('desktop', 'mobile-web', 'mobile-app'), false)""")
+def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream of page views rejects, with the reason."""
+    schema = spark.read.parquet(f"{d}/pageviews.parquet").schema
+    target = scratch(spark, "streams")
     stream = jobs.files(spark, _folder(d, "pageviews"), schema)
-    jobs.ingest(stream, etl.pageview_rules(), ["article", "timestamp", "device_type"], "fetched_at", f"{target}/out", f"{target}/state").awaitTermination()
-    return jobs.current(spark, f"{target}/out", ["article", "timestamp", "device_type"], "fetched_at").agg(F.count(F.lit(1)).alias("n"))
+    jobs.ingest(stream, etl.pageview_rules(), ["article"], "fetched_at", f"{target}/out", f"{target}/state").awaitTermination()
+    return spark.read.parquet(f"{target}/out/quarantine").select("article", "timestamp", "device_type", "fetched_at", "reason")
 
 
 def _folder(d: str, name: str) -> str:

@@ -8,13 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.metrics import hash_key
 from ..operators import etl
+from ..sources.written import scratch
 
 
 def files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:  # noqa: ANN001
@@ -69,29 +72,32 @@ def current(spark: SparkSession, target: str, key: Sequence[str], seq: str) -> D
 
 
 def circuit_states(events: DataFrame, service: str, time: str, failed: str, open_after: int = 5, close_after: int = 2, wait_seconds: int = 60) -> DataFrame:
-    """service, at, state after each event: closed, open after failures in a row, half open after a wait, closed again after successes."""
+    """service, at, state after each event: closed, open after failures in a row, half open after a wait, closed again after successes.
+
+    A trigger's events of a service are taken in order of time, in whatever order and batches they come; at the same time successes come first.
+    The state depends on the one before, so this is a loop, over one service's events of one trigger.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         name, failures, successes, opened = state.get if state.exists else ("closed", 0, 0, 0.0)
-        rows = []
-        for batch in batches:
-            for at, bad in batch.sort_values(time)[[time, failed]].itertuples(index=False):
-                now = at.timestamp()
-                if name == "open" and now - opened >= wait_seconds:
-                    name, successes = "half_open", 0
-                if bad:
-                    failures += 1
-                    if name == "half_open" or (name == "closed" and failures >= open_after):
-                        name, opened = "open", now
-                elif name == "half_open":
-                    successes += 1
-                    if successes >= close_after:
-                        name, failures = "closed", 0
-                elif name == "closed":
-                    failures = 0
-                rows.append((key[0], at, name))
+        line = pd.concat(list(batches)).sort_values([time, failed], kind="stable")
+        moments, bad, names = line[time].map(pd.Timestamp.timestamp).to_numpy(), line[failed].to_numpy(bool), []
+        for now, failure in zip(moments, bad):
+            if name == "open" and now - opened >= wait_seconds:
+                name, successes = "half_open", 0
+            if failure:
+                failures += 1
+                if name == "half_open" or (name == "closed" and failures >= open_after):
+                    name, opened = "open", float(now)
+            elif name == "half_open":
+                successes += 1
+                if successes >= close_after:
+                    name, failures = "closed", 0
+            elif name == "closed":
+                failures = 0
+            names.append(name)
         state.update((name, failures, successes, opened))
-        yield pd.DataFrame(rows, columns=[service, "at", "state"])
+        yield pd.DataFrame({service: key[0], "at": line[time].to_numpy(), "state": names})
 
     kind = events.schema[service].dataType.simpleString()
     return events.withColumn(time, F.col(time).cast("timestamp")).groupBy(service).applyInPandasWithState(
@@ -99,11 +105,28 @@ def circuit_states(events: DataFrame, service: str, time: str, failed: str, open
     )
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is now and return its result table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, mode: str = "append", checkpoint: str | None = None, target: str | None = None) -> DataFrame:
+    """Run a stream over what there is now and return its result, a table in the shared folder.
+
+    Each trigger writes its own partition, so one that is run again replaces what it wrote. In complete
+    mode the last trigger holds the whole result. A stream without any trigger gives no rows.
+    """
+    spark = df.sparkSession
+    target = target or scratch(spark, "streams")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint or scratch(spark, "streams")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    numbered = StructType([*df.schema.fields, StructField("batch", LongType())])
+    try:
+        rows = spark.read.schema(numbered).parquet(target)
+    except AnalysisException:
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    return rows.select(*df.columns)
 
 
 def pipeline(steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], start: DataFrame) -> dict[str, DataFrame]:
