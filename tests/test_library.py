@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import math
 
 import numpy as np
@@ -73,10 +74,11 @@ def test_deciles_of_four(spark):
     assert got == [(1, 1, 1), (2, 3, 4), (3, 6, 7), (4, 8, 10)]
 
 
+@pytest.mark.parametrize("most", [40, 10_000])
 @pytest.mark.parametrize("descending", [False, True])
-def test_global_rank_is_a_rank(spark, descending):
+def test_global_rank_is_a_rank(spark, descending, most):
     rows = [(i, 7 if i % 3 == 0 else (i * 7919) % 50) for i in range(500)] + [(900, None)]
-    got = {r.id: (r.r, r.n) for r in ranking.global_rank(spark.createDataFrame(rows, "id int, v int"), "v", ["id"], "r", descending, 8).collect()}
+    got = {r.id: (r.r, r.n) for r in ranking.global_rank(spark.createDataFrame(rows, "id int, v int"), "v", ["id"], "r", descending, most=most).collect()}
     line = sorted((x for x in rows if x[1] is not None), key=lambda x: (-x[1] if descending else x[1], x[0]))
     assert got == {x[0]: (k + 1, 500) for k, x in enumerate(line)}
     assert ranking.global_rank(spark.createDataFrame([], "id int, v int"), "v", ["id"]).collect() == []
@@ -251,6 +253,26 @@ def test_betweenness_of_a_path_and_a_star(spark):
     assert star["a"] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_betweenness_as_by_hand(spark, directed):
+    rng = random.Random(5)
+    ids = list(range(12))
+    pairs = [(a, b) for a in ids for b in ids if a != b and rng.random() < 0.2]
+    links = {(a, b) for a, b in pairs} | (set() if directed else {(b, a) for a, b in pairs})
+    far = {(a, b): 0 if a == b else 1 if (a, b) in links else 99 for a in ids for b in ids}
+    for k in ids:
+        for a in ids:
+            for b in ids:
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+
+    def paths(a, b):
+        return 1 if a == b else sum(paths(a, k) for k in ids if (k, b) in links and far[a, k] + 1 == far[a, b])
+
+    want = {v: sum(paths(a, v) * paths(v, b) / paths(a, b) for a in ids for b in ids if len({a, b, v}) == 3 and far[a, b] < 99 and far[a, v] + far[v, b] == far[a, b]) / 110 for v in ids}
+    got = {r.id: r.centrality for r in graph.betweenness(spark.createDataFrame([(i,) for i in ids], "id int"), spark.createDataFrame(pairs, "src int, dst int"), directed).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_communities_of_two_cliques(spark):
     pairs = [(a, b) for g in ("abcd", "wxyz") for a in g for b in g if a < b] + [("d", "w")]
     for found in (graph.modularity_communities(nodes(spark, "abcdwxyzq"), edges(spark, pairs)), graph.label_communities(nodes(spark, "abcdwxyzq"), edges(spark, pairs))):

@@ -9,7 +9,7 @@ is never collected, except in betweenness and modularity, which say so and bound
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.written import written
+from ..sources.written import dropped, written
+
+#: Edges times sources that a task walks at once.
+BLOCK = 4_000_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -53,9 +56,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         if k % cut_every and k < rounds:
             ranks = stepped.drop("moved")
             continue
-        stepped = written(stepped)
+        last, stepped = (stepped_last if k > cut_every else None), written(stepped)
         moved = stepped.agg(F.sum("moved").alias("m")).first().m
-        ranks = stepped.drop("moved")
+        ranks, stepped_last = stepped.drop("moved"), stepped
+        dropped(last)
         if moved <= tolerance:
             break
     return ranks.select("id", "rank")
@@ -69,14 +73,15 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> D
     nodes stay alone. Communities are numbered by their labels.
     """
     links = written(undirected(edges))
-    labels = written(nodes.select("id").distinct().select("id", F.col("id").alias("label")))
+    labels = last = written(nodes.select("id").distinct().select("id", F.col("id").alias("label")))
     for _ in range(rounds):
         votes = links.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label").union(labels.select("id", "label"))
         counted = votes.groupBy("id", "label").agg(F.count(F.lit(1)).alias("c"))
         best = counted.groupBy("id").agg(F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("label"))
         stepped = written(best.join(labels.withColumnRenamed("label", "old"), "id"))
         changed = stepped.where("label <> old").limit(1).count()
-        labels = stepped.select("id", "label")
+        dropped(last)
+        labels, last = stepped.select("id", "label"), stepped
         if not changed:
             break
     from .ranking import global_rank
@@ -90,13 +95,14 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> D
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """id, component: the smallest id of each component, by propagation with pointer jumping."""
     links = written(undirected(edges))
-    state = written(nodes.select("id").distinct().select("id", F.col("id").alias("component")))
+    state = last = written(nodes.select("id").distinct().select("id", F.col("id").alias("component")))
     for _ in range(rounds):
         offered = links.join(state.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "component")
         least = offered.union(state.select("id", "component")).groupBy("id").agg(F.min("component").alias("c"))
         jumped = least.join(state.select(F.col("id").alias("c"), F.col("component").alias("further")), "c", "left").select("id", F.least("c", F.coalesce("further", "c")).alias("c"))
         stepped = written(jumped.join(state, "id").select("id", F.col("c").alias("component"), (F.col("c") != F.col("component")).alias("moved")))
-        state = stepped.select("id", "component")
+        dropped(last)
+        state, last = stepped.select("id", "component"), stepped
         if not stepped.where("moved").limit(1).count():
             return state
     raise RuntimeError(f"components still change after {rounds} rounds")
@@ -116,6 +122,34 @@ def _adjacency(edges: DataFrame, most_edges: int) -> tuple[list, dict, np.ndarra
     return ids, at, starts, dst[order]
 
 
+def _dependencies(starts: np.ndarray, to: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """The dependencies of a block of sources on each node, added up: all sources walk outward together, level by level, and back."""
+    size = len(starts) - 1
+    degree = np.diff(starts)
+    places = len(sources) * size  # a place is a source and a node
+    origin = np.arange(len(sources)) * size + sources
+    seen, paths = np.zeros(places, bool), np.zeros(places)
+    seen[origin], paths[origin] = True, 1.0
+    front, levels = origin, []
+    while len(front):
+        at = front % size
+        many = degree[at]
+        tail = np.repeat(front, many)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        head = np.repeat(front - at, many) + to[np.repeat(starts[at], many) + step]
+        new = ~seen[head]
+        tail, head = tail[new], head[new]
+        np.add.at(paths, head, paths[tail])
+        front = np.unique(head)
+        seen[front] = True
+        levels.append((tail, head))
+    credit = np.zeros(places)
+    for tail, head in reversed(levels):
+        np.add.at(credit, tail, paths[tail] / paths[head] * (1 + credit[head]))
+    credit[origin] = 0.0
+    return credit.reshape(len(sources), size).sum(axis=0)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = False, most_edges: int = 2_000_000) -> DataFrame:
     """id, centrality: exact shortest-path betweenness (Brandes), shared among executors by source.
 
@@ -129,31 +163,15 @@ def betweenness(nodes: DataFrame, edges: DataFrame, directed: bool = False, most
     kind = nodes.schema["id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast((starts, to))
 
+    block = max(1, BLOCK // max(1, len(to)))
+
     def dependencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts, to = shared.value
-        size = len(starts) - 1
-        total = np.zeros(size)
+        total = np.zeros(len(starts) - 1)
         for batch in batches:
-            for s in batch["at"]:
-                dist, paths, order = np.full(size, -1), np.zeros(size), []
-                dist[s], paths[s] = 0, 1.0
-                queue, before = deque([s]), defaultdict(list)
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in to[starts[v] : starts[v + 1]]:
-                        if dist[w] < 0:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                credit = np.zeros(size)
-                for w in reversed(order):
-                    for v in before[w]:
-                        credit[v] += paths[v] / paths[w] * (1 + credit[w])
-                    if w != s:
-                        total[w] += credit[w]
+            sources = batch["at"].to_numpy()
+            for lo in range(0, len(sources), block):
+                total += _dependencies(starts, to, sources[lo : lo + block])
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"at": hit, "sum": total[hit]})
 
@@ -186,16 +204,17 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance
         if k % cut_every and k < rounds:
             state = stepped.select("id", F.col("new").alias("score"))
             continue
-        stepped = written(stepped)
+        last, stepped = (stepped_last if k > cut_every else None), written(stepped)
         moved = stepped.agg(F.max(F.abs(F.col("new") - F.col("score"))).alias("m")).first().m
-        state = stepped.select("id", F.col("new").alias("score"))
+        state, stepped_last = stepped.select("id", F.col("new").alias("score")), stepped
+        dropped(last)
         if moved is None or moved < tolerance:
             break
     return state
 
 
-def knowledge_centrality(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """id, centrality: the mean of directed betweenness and eigenvector score."""
+def knowledge_centrality(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """id, centrality: the mean of directed betweenness and eigenvector score, which may take ``rounds`` to settle."""
     return betweenness(nodes, edges, directed=True).join(eigenvector(nodes, edges, rounds), "id").select("id", ((F.col("centrality") + F.col("score")) / 2).alias("centrality"))
 
 

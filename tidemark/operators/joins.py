@@ -45,15 +45,28 @@ def as_of_day(left: DataFrame, right: DataFrame, key: str, day: str, within: int
     return left.join(found, [key, day], "left")
 
 
+#: Groups that may be compared each with each.
+MOST_GROUPS = 10_000
+
+
+def _few(groups: DataFrame) -> None:
+    """Raise where every pair would be more than a report: the result is as large as the square of the groups."""
+    n = groups.limit(MOST_GROUPS + 1).count()
+    if n > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups to compare each with each")
+
+
 def pairwise_percent(groups: DataFrame, name: str, value: str) -> DataFrame:
-    """name, against, percent for ordered pairs of groups; 0 where the base is 0. ``groups`` has one row per group, a dimension's size."""
+    """name, against, percent for ordered pairs of groups; 0 where the base is 0. ``groups`` has one row per group, ``MOST_GROUPS`` at most."""
+    _few(groups)
     other = groups.select(F.col(name).alias("against"), F.col(value).alias("__b"))
     change = F.coalesce(F.try_divide((F.col(value) - F.col("__b")) * 100.0, F.col("__b")), F.lit(0.0))
     return groups.join(other, F.col(name) != F.col("against")).select(name, "against", change.alias("percent"))
 
 
 def upper_pairs(groups: DataFrame, name: str, value: str, multiplier: float = 1.5) -> DataFrame:
-    """a, b, gap, is_significant for unordered pairs of groups: the gap against a multiple of the population deviation."""
+    """a, b, gap, is_significant for unordered pairs of groups: the gap against a multiple of the population deviation. ``MOST_GROUPS`` groups at most."""
+    _few(groups)
     spread = groups.agg(F.stddev_pop(value).alias("__sd"))
     a, b = groups.select(F.col(name).alias("a"), F.col(value).alias("__x")), groups.select(F.col(name).alias("b"), F.col(value).alias("__y"))
     gap = F.abs(F.col("__x") - F.col("__y"))

@@ -1,6 +1,7 @@
-"""Ranks, deciles and quartiles over a whole table, without a window that holds it in one task.
+"""Ranks, deciles and quartiles over a whole table, without a window that holds a large one in one task.
 
-A global order is cut into buckets at approximate quantiles; rows are ranked within their
+Rows are counted; up to ``PLAIN`` of them are one window. More are range partitioned by the
+whole order, ties included, into buckets of about that many rows; they are ranked within their
 bucket, and the buckets' sizes, one small row each, give the offsets.
 """
 
@@ -14,47 +15,46 @@ from pyspark.sql import functions as F
 from ..sources.written import written
 
 
-def global_rank(df: DataFrame, value: str, ties: Sequence[str], name: str = "rank", descending: bool = False, buckets: int = 64, keep: bool = True) -> DataFrame:
+#: Rows of one bucket, and up to which a window needs no buckets.
+PLAIN = 500_000
+
+
+def _bucketed(rows: DataFrame, n: int, order: Sequence[Column], most: int) -> DataFrame:
+    """The rows with ``__b``, the number of their bucket in the order; written, as the buckets are sampled."""
+    return written(rows.repartitionByRange(-(-n // most), *order).withColumn("__b", F.spark_partition_id()))
+
+
+def global_rank(df: DataFrame, value: str, ties: Sequence[str], name: str = "rank", descending: bool = False, keep: bool = True, most: int = PLAIN) -> DataFrame:
     """Add ``name`` (1-based, no gaps) by ``value`` and then ``ties``, and ``n``, the number of ranked rows.
 
-    Rows with a null value are left out. A value so frequent that it is an edge itself is a
-    bucket of its own, cut further at quantiles of the first of the ``ties`` if that is a
-    number. The rows are read three times (edges, sizes, ranks); with ``keep`` they are made
-    once and kept in the shared folder, without it, as for a plain scan, they are read again.
+    Rows with a null value are left out. With ``keep`` the rows are made once, at once, and kept
+    in the shared folder, without it, as for a plain scan, they are read again. A value that most rows
+    share is cut by the ties, of whatever type; rows equal in all of these share a bucket.
     """
     rows = df.where(F.col(value).isNotNull())
     rows = written(rows) if keep else rows
-    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    v = F.col(value).cast("double")
-    numeric = bool(ties) and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double")
-    t = F.col(ties[0]).cast("double") if numeric else F.lit(0.0)
-    edges = rows.agg(F.percentile_approx(v, shares, 10_000).alias("__e"), F.percentile_approx(t, shares, 10_000).alias("__f"))
-    below = lambda edge, x: F.coalesce(F.size(F.filter(edge, lambda e: e < x)), F.lit(0))
-    is_edge = F.coalesce(F.array_contains("__e", v), F.lit(False))
-    cut = (
-        rows.crossJoin(F.broadcast(edges))
-        .withColumns({"__b": 2 * below("__e", v) + is_edge.cast("int"), "__c": F.when(is_edge, below("__f", t)).otherwise(0)})
-        .drop("__e", "__f")
-    )
-    sizes = cut.groupBy("__b", "__c").agg(F.count(F.lit(1)).alias("__s"))
-    line = Window.orderBy(F.desc("__b") if descending else F.asc("__b"), "__c")  # one row per bucket
-    offsets = sizes.select("__b", "__c", (F.sum("__s").over(line) - F.col("__s")).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("n"))
+    n = rows.count()
     order = [F.desc(value) if descending else F.asc(value), *(F.asc(x) for x in ties)]
-    own = F.row_number().over(Window.partitionBy("__b", "__c").orderBy(*order))
-    placed = cut.withColumn("__r", own).join(F.broadcast(offsets), ["__b", "__c"])
-    return placed.withColumn(name, F.col("__before") + F.col("__r")).drop("__b", "__c", "__r", "__before")
+    if n <= most:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn("n", F.lit(n).cast("long"))
+    cut = _bucketed(rows, n, order, most)
+    sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__s"))
+    offsets = sizes.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__before"))  # one row per bucket
+    placed = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order))).join(F.broadcast(offsets), "__b")
+    return placed.withColumn(name, F.col("__before") + F.col("__r")).withColumn("n", F.lit(n).cast("long")).drop("__b", "__r", "__before")
 
 
-def running_before(df: DataFrame, value: str, add: str, name: str, buckets: int = 64) -> DataFrame:
+def running_before(df: DataFrame, value: str, add: str, name: str, most: int = PLAIN) -> DataFrame:
     """Add ``name``: the sum of ``add`` over all rows with a smaller ``value``. Values are numbers, each in one row."""
     rows = written(df)
-    v = F.col(value).cast("double")
-    edges = rows.agg(F.percentile_approx(v, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 10_000).alias("__e"))
-    cut = rows.crossJoin(F.broadcast(edges)).withColumn("__b", F.coalesce(F.size(F.filter("__e", lambda e: e < v)), F.lit(0))).drop("__e")
+    n = rows.count()
+    before = lambda w: F.coalesce(F.sum(add).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if n <= most:
+        return rows.withColumn(name, before(Window.partitionBy()))
+    cut = _bucketed(rows, n, [F.asc(value)], most)
     sums = cut.groupBy("__b").agg(F.sum(add).alias("__s"))
     offsets = sums.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__before"))  # one row per bucket
-    own = F.sum(add).over(Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return cut.withColumn("__own", F.coalesce(own, F.lit(0))).join(F.broadcast(offsets), "__b").withColumn(name, F.col("__before") + F.col("__own")).drop("__b", "__own", "__before")
+    return cut.withColumn("__own", before(Window.partitionBy("__b"))).join(F.broadcast(offsets), "__b").withColumn(name, F.col("__before") + F.col("__own")).drop("__b", "__own", "__before")
 
 
 def decile_by_count(rank: Column, n: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import html
 from ..operators import etl, graph, joins, learn, models, report
 from ..sources import landed, sinks
 from ..sources.tables import table
-from ..sources.written import scratch
+from ..sources.written import scratch, written
 from ..streaming import jobs
 from .relational import r6
 from .views import DAILY_ORDERS, companies, daily_orders
@@ -30,13 +30,26 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def trade(spark: SparkSession, d: str) -> DataFrame:
-    """Edges from the nation of a customer to that of the supplier, for orders over a size, each pair once."""
-    c = table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 480000"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
-    s = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("l_quantity > 35").select("l_orderkey", F.col("s_nationkey").alias("dst"))
-    return c.join(s, F.col("o_orderkey") == F.col("l_orderkey")).select("src", "dst").distinct()
+    """Edges from the nation of the customer to that of the supplier, for pairs that trade more than pairs do on average; 625 at most, made once."""
+    sold = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", F.col("s_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("q"))
+    bought = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
+    volumes = bought.join(sold, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("src", "dst").agg(F.sum("q").alias("q"))
+    mean = volumes.agg(F.avg("q").alias("mean"))
+    return written(volumes.crossJoin(F.broadcast(mean)).where("q > mean").select("src", "dst"))
 
 
-TRADE = """trade AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_totalprice > 480000 AND l_quantity > 35)"""
+TRADE = """volumes AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+trade AS MATERIALIZED (SELECT src, dst FROM volumes WHERE q > (SELECT avg(q) FROM volumes))"""
+
+
+def editing(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from each editor to each article edited, over all revisions, made once. The graph grows with the table."""
+    known = table(spark, d, "revisions").where("editor_id <> '' and article is not null")
+    return written(known.select(F.concat(F.lit("e:"), "editor_id").alias("src"), F.concat(F.lit("a:"), "article").alias("dst")).distinct())
+
+
+EDITING = """editing AS MATERIALIZED (SELECT DISTINCT 'e:' || editor_id AS src, 'a:' || article AS dst FROM revisions WHERE editor_id <> '' AND article IS NOT NULL),
+both_ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM editing UNION ALL SELECT dst, src FROM editing), ids AS MATERIALIZED (SELECT DISTINCT a AS id FROM both_ways)"""
 
 
 def _nations(spark: SparkSession, d: str) -> DataFrame:
@@ -44,31 +57,57 @@ def _nations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pagerank_sql(rounds: int) -> str:
-    text = f"WITH {TRADE}, ids AS (SELECT n_nationkey AS id FROM nation), o AS (SELECT src, count(*) AS n FROM trade GROUP BY 1), s AS (SELECT t.src, t.dst, 1.0 / o.n AS share FROM trade t JOIN o ON t.src = o.src), r0 AS (SELECT id, CAST(1.0 / (SELECT count(*) FROM ids) AS DOUBLE) AS rank FROM ids)"
+    text = f"WITH {EDITING}, o AS MATERIALIZED (SELECT src, count(*) AS n FROM editing GROUP BY 1), s AS MATERIALIZED (SELECT t.src, t.dst, 1.0 / o.n AS share FROM editing t JOIN o ON t.src = o.src), r0 AS MATERIALIZED (SELECT id, CAST(1.0 / (SELECT count(*) FROM ids) AS DOUBLE) AS rank FROM ids)"
     for k in range(1, rounds + 1):
         text += f""", g{k} AS (SELECT dst AS id, sum(rank * share) AS got FROM s JOIN r{k - 1} ON id = src GROUP BY 1), l{k} AS (SELECT coalesce(sum(rank), 0) AS loose FROM r{k - 1} WHERE id NOT IN (SELECT src FROM o)),
-        r{k} AS (SELECT ids.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (coalesce(got, 0) + loose / (SELECT count(*) FROM ids)) AS rank FROM ids LEFT JOIN g{k} ON ids.id = g{k}.id, l{k})"""
-    return text + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+        r{k} AS MATERIALIZED (SELECT ids.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * (coalesce(got, 0) + loose / (SELECT count(*) FROM ids)) AS rank FROM ids LEFT JOIN g{k} ON ids.id = g{k}.id, l{k})"""
+    return text + f" SELECT id, round(rank * 1000000, 4) AS millionths FROM r{rounds}"
+
+
+@query(_pagerank_sql(20))
+def edit_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty rounds over editors and articles."""
+    e = editing(spark, d)
+    return graph.pagerank(graph.nodes_of(e), e, tolerance=0.0).select("id", F.round(F.col("rank") * 1_000_000, 4).alias("millionths"))
+
+
+def _least_sql(rounds: int) -> str:
+    text = f"WITH {EDITING}, c0 AS MATERIALIZED (SELECT id, id AS c FROM ids)"
+    for k in range(1, rounds + 1):
+        text += f", c{k} AS MATERIALIZED (SELECT ids.id, least(min(own.c), min(near.c)) AS c FROM ids JOIN c{k - 1} own ON own.id = ids.id JOIN both_ways e ON e.a = ids.id JOIN c{k - 1} near ON near.id = e.b GROUP BY 1)"
+    return text + f" SELECT id, c AS component FROM c{rounds}"
+
+
+@query(_least_sql(12))
+def edit_components(spark: SparkSession, d: str) -> DataFrame:
+    """Connected components of editors and articles."""
+    e = editing(spark, d)
+    return graph.connected_components(graph.nodes_of(e), e)
 
 
-@query(_pagerank_sql(10))
-def trade_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    """Ten rounds."""
-    return graph.pagerank(_nations(spark, d), trade(spark, d), rounds=10, tolerance=0.0).select("id", r6("rank", "rank"))
+@query(f"""WITH RECURSIVE {EDITING}, r(id, depth) AS (SELECT (SELECT min(id) FROM ids), 0 UNION SELECT b, depth + 1 FROM r JOIN both_ways ON a = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY 1""")
+def edit_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth first from one article over its editors to their articles, two deep."""
+    e = editing(spark, d)
+    links = graph.undirected(e)
+    seeds = links.agg(F.min("src").alias("id"))
+    return graph.crawl(seeds, links, depth=2, most=None).select("id", F.col("depth").cast("int").alias("depth"))
 
 
-@query(f"""WITH RECURSIVE {TRADE}, e AS (SELECT src AS a, dst AS b FROM trade WHERE src <> dst UNION SELECT dst, src FROM trade WHERE src <> dst), r(id, x) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT b, x FROM r JOIN e ON a = id)
-  SELECT id, min(x) AS component FROM r GROUP BY 1""")
-def trade_components(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components."""
-    return graph.connected_components(_nations(spark, d), trade(spark, d))
+def _labels_sql(rounds: int) -> str:
+    text = f"WITH {EDITING}, l0 AS MATERIALIZED (SELECT id, id AS label FROM ids)"
+    for k in range(1, rounds + 1):
+        text += f""", v{k} AS (SELECT id, label, count(*) AS n FROM (SELECT e.b AS id, label FROM l{k - 1} JOIN both_ways e ON e.a = id UNION ALL SELECT id, label FROM l{k - 1}) GROUP BY 1, 2),
+        l{k} AS MATERIALIZED (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1)"""
+    return text + f" SELECT id, min(id) OVER (PARTITION BY label) AS community FROM l{rounds}"
 
 
-@query(f"""WITH RECURSIVE {TRADE}, r(id, depth) AS (SELECT 3, 0 UNION SELECT dst, depth + 1 FROM r JOIN trade ON src = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY 1""")
-def trade_crawl(spark: SparkSession, d: str) -> DataFrame:
-    """Breadth first over links, two deep."""
-    seeds = spark.range(1).select(F.lit(3).alias("id"))
-    return graph.crawl(seeds, trade(spark, d), depth=2, most=None).select("id", F.col("depth").cast("int"))
+@query(_labels_sql(6))
+def edit_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Six rounds of label propagation over editors and articles; a community goes by its least member."""
+    e = editing(spark, d)
+    found = graph.label_communities(graph.nodes_of(e), e, rounds=6)
+    return found.join(found.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
 
 
 @query(f"""WITH {TRADE}, c AS (SELECT n_nationkey AS id, n_regionkey AS community FROM nation), p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM trade),
@@ -80,6 +119,12 @@ def region_density(spark: SparkSession, d: str) -> DataFrame:
     return graph.community_density(c, trade(spark, d)).withColumn("density", r6("density"))
 
 
+@query("SELECT n_regionkey AS community, list(n_nationkey ORDER BY n_nationkey) AS members FROM nation GROUP BY 1")
+def region_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of given communities."""
+    return graph.members(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("community")))
+
+
 @query(f"""WITH {TRADE}, n AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey < 3) SELECT src, dst FROM trade WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""")
 def filtered_network(spark: SparkSession, d: str) -> DataFrame:
     """Edges whose ends both survive a filter."""
@@ -90,23 +135,43 @@ def filtered_network(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def trade_communities(spark: SparkSession, d: str) -> DataFrame:
     """Label propagation and modularity, side by side."""
-    a = graph.label_communities(_nations(spark, d), trade(spark, d)).withColumnRenamed("community", "by_labels")
-    b = graph.modularity_communities(_nations(spark, d), trade(spark, d)).withColumnRenamed("community", "by_modularity")
+    edges = trade(spark, d)
+    a = graph.label_communities(_nations(spark, d), edges).withColumnRenamed("community", "by_labels")
+    b = graph.modularity_communities(_nations(spark, d), edges).withColumnRenamed("community", "by_modularity")
     return a.join(b, "id")
 
 
-@query()
+def _between_sql(name: str, links: str, levels: int = 8) -> str:
+    """CTEs of shortest paths by length and of what lies between, from a list of links (a, b)."""
+    text = f"{name}_e AS MATERIALIZED ({links}), {name}_0 AS MATERIALIZED (SELECT id AS a, id AS b, 1.0 AS c, 0 AS far FROM nations)"
+    for k in range(1, levels + 1):
+        text += f""", {name}_{k} AS MATERIALIZED (SELECT * FROM {name}_{k - 1} UNION ALL SELECT p.a, e.b, sum(p.c), {k} FROM {name}_{k - 1} p JOIN {name}_e e ON e.a = p.b
+          WHERE p.far = {k - 1} AND NOT EXISTS (SELECT 1 FROM {name}_{k - 1} o WHERE o.a = p.a AND o.b = e.b) GROUP BY 1, 2)"""
+    paths = f"{name}_{levels}"
+    return text + f""", {name} AS MATERIALIZED (SELECT id, coalesce((SELECT sum(x.c * y.c / w.c) FROM {paths} x JOIN {paths} y ON x.b = y.a JOIN {paths} w ON w.a = x.a AND w.b = y.b
+          WHERE x.b = id AND x.a <> id AND y.b <> id AND x.a <> y.b AND x.far + y.far = w.far), 0) / ((SELECT count(*) FROM nations) - 1) / ((SELECT count(*) FROM nations) - 2) AS c FROM nations)"""
+
+
+def _centrality_sql(rounds: int) -> str:
+    ways = "SELECT src AS a, dst AS b FROM trade WHERE src <> dst"
+    text = f"WITH {TRADE}, nations AS MATERIALIZED (SELECT n_nationkey AS id FROM nation), " + _between_sql("near", f"{ways} UNION SELECT dst, src FROM trade WHERE src <> dst") + ", " + _between_sql("onward", ways)
+    text += """, best AS (SELECT e.a AS id, n.c, row_number() OVER (PARTITION BY e.a ORDER BY n.c DESC, e.b) AS k FROM near_e e JOIN near n ON n.id = e.b),
+      around AS (SELECT id, sum(c) AS s, count(*) AS n FROM best WHERE k <= 10 GROUP BY 1), x0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS x FROM nations)"""
+    for k in range(1, rounds + 1):
+        text += f""", y{k} AS MATERIALIZED (SELECT p.id, p.x + coalesce((SELECT sum(q.x) FROM near_e e JOIN x{k - 1} q ON q.id = e.b WHERE e.a = p.id), 0) AS x FROM x{k - 1} p),
+          x{k} AS MATERIALIZED (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM y{k}) AS x FROM y{k})"""
+    return text + f""" SELECT near.id, round(near.c, 4) AS centrality, round((near.c + coalesce(s, 0)) / (1 + coalesce(around.n, 0)), 4) AS ecosystem, round((onward.c + x) / 2, 4) AS knowledge
+      FROM near LEFT JOIN around ON around.id = near.id JOIN onward ON onward.id = near.id JOIN x{rounds} ON x{rounds}.id = near.id"""
+
+
+@query(_centrality_sql(40))
 def trade_betweenness(spark: SparkSession, d: str) -> DataFrame:
     """Betweenness, its mean with the best neighbours, and knowledge centrality."""
     nodes, edges = _nations(spark, d), trade(spark, d)
-    b = graph.betweenness(nodes, edges)
+    b = written(graph.betweenness(nodes, edges))
     e = graph.ecosystem_centrality(b, edges).withColumnRenamed("centrality", "ecosystem")
-    k = graph.knowledge_centrality(nodes, edges, rounds=20).withColumnRenamed("centrality", "knowledge")
-    return b.join(e, "id").join(k, "id").select("id", *(r6(c, c) for c in ("centrality", "ecosystem", "knowledge")))
-
-
-def _monthly(spark: SparkSession, d: str) -> DataFrame:
-    return daily_orders(spark, d)
+    k = graph.knowledge_centrality(nodes, edges).withColumnRenamed("centrality", "knowledge")
+    return b.join(e, "id").join(k, "id").select("id", *(F.round(c, 4).alias(c) for c in ("centrality", "ecosystem", "knowledge")))
 
 
 @query()

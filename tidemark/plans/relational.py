@@ -175,7 +175,7 @@ def series_range(spark: SparkSession, d: str) -> DataFrame:
   CAST(least(10, floor((r - 1) / CAST(n - 1 AS DOUBLE) * 100 / 10) + 1) AS INTEGER) AS decile_by_percentile FROM placed""")
 def company_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores, normalised scores and both definitions of deciles."""
-    scored = companies(spark, d).withColumn("score", m.innovation_score(F.col("stars"), F.col("forks"), F.col("employees"))).withColumn(
+    scored = companies(spark, d, ranked=True).withColumn("score", m.innovation_score(F.col("stars"), F.col("forks"), F.col("employees"))).withColumn(
         "maturity", m.digital_maturity(F.col("stars"), F.col("forks"), F.col("contributors"), F.col("revenue_rank"))
     )
     placed = ranking.global_rank(ranking.min_max(scored, "score"), "score", ["company_id"], "r")
@@ -225,7 +225,7 @@ def sector_differences(spark: SparkSession, d: str) -> DataFrame:
   SELECT s.sector, mm.metric, round(coalesce(avg(v), 0), 6) AS value FROM s CROSS JOIN mm LEFT JOIN long l ON l.sector = s.sector AND l.metric = mm.metric GROUP BY 1, 2""")
 def sector_metric_means(spark: SparkSession, d: str) -> DataFrame:
     """Ragged metric maps to a dense grid of sector means."""
-    c = companies(spark, d)
+    c = companies(spark, d, ranked=True)
     ragged = c.select("sector", F.map_filter(F.create_map(F.lit("stars"), F.col("stars"), F.lit("forks"), F.when(F.col("revenue_rank") > 10, F.col("forks")), F.lit("contributors"), F.col("contributors")), lambda k, v: v.isNotNull()).alias("metrics"))
     return joins.dense_means(ragged, "sector", "metrics").withColumn("value", r6("value"))
 
@@ -245,7 +245,7 @@ def sector_extrema(spark: SparkSession, d: str) -> DataFrame:
   SELECT company_id, c.sector, stars, revenue_rank FROM companies c JOIN md ON c.sector = md.sector WHERE stars > ms AND revenue_rank > mr""")
 def acquisition_targets(spark: SparkSession, d: str) -> DataFrame:
     """Companies over their sector's median score and rank."""
-    c = companies(spark, d)
+    c = companies(spark, d, ranked=True)
     med = c.groupBy("sector").agg(F.median("stars").alias("ms"), F.median("revenue_rank").alias("mr"))
     return c.join(med, "sector").where("stars > ms and revenue_rank > mr").select("company_id", "sector", "stars", "revenue_rank")
 
@@ -294,7 +294,7 @@ def radar_scale(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {COMPANIES}" + """ SELECT company_id, name, stars, revenue_rank, row_number() OVER (ORDER BY stars DESC, company_id) AS place FROM companies WHERE sector IN ('ASIA', 'EUROPE')""")
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     """Scores and ranks joined, a sector filter, placed by score."""
-    c = companies(spark, d)
+    c = companies(spark, d, ranked=True)
     scores, ranks = c.select("company_id", "name", "sector", "stars"), c.select("company_id", "revenue_rank")
     return joins.leaderboard(scores.where(F.col("sector").isin("ASIA", "EUROPE")), ranks, "company_id", "stars").select("company_id", "name", "stars", "revenue_rank", F.col("place"))
 

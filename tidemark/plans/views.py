@@ -13,8 +13,8 @@ from ..operators.etl import DEVICES
 from ..sources.tables import table
 
 
-def companies(spark: SparkSession, d: str) -> DataFrame:
-    """company_id, name, sector, stars, forks, contributors, employees, revenue, revenue_rank."""
+def companies(spark: SparkSession, d: str, ranked: bool = False) -> DataFrame:
+    """company_id, name, sector, stars, forks, contributors, employees, revenue and, if asked for, revenue_rank."""
     from ..operators.ranking import global_rank
 
     regions = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -31,7 +31,7 @@ def companies(spark: SparkSession, d: str) -> DataFrame:
         .join(regions, F.col("s_nationkey") == F.col("n_nationkey"))
         .select(F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("name"), F.col("r_name").alias("sector"), "stars", "forks", "contributors", "employees", "revenue")
     )
-    return global_rank(joined, "revenue", ["company_id"], "revenue_rank", descending=True).drop("n")
+    return global_rank(joined, "revenue", ["company_id"], "revenue_rank", descending=True).drop("n") if ranked else joined
 
 
 COMPANIES = """
