@@ -78,10 +78,9 @@ def edit_features(revisions: DataFrame, kinds: Sequence[str] = KINDS) -> DataFra
     age = ((F.col("__newest") - F.col("last")) / 1_000_000).cast("long").alias("age")
     place = F.array_position(F.lit(list(kinds)), F.col("kind")).cast("int")
     placed = long.crossJoin(F.broadcast(newest)).select("article", place.alias("__p"), F.struct("n", "bytes", age).alias("__v"))
-    # One map per entity, of as many entries as there are kinds at most, then a slot for each kind: columns are read off, not aggregated.
+    # One map per entity, of as many entries as there are kinds at most: columns are read off, not aggregated.
     held = placed.groupBy("article").agg(F.map_from_entries(F.collect_list(F.when(F.col("__p") > 0, F.struct("__p", "__v")))).alias("__m"))
-    slots = held.select("article", F.transform(F.sequence(F.lit(1), F.lit(len(kinds))), lambda k: F.try_element_at("__m", k)).alias("__s"))
     # As text: building the columns one by one takes longer than running them.
-    columns = [f"coalesce(__s[{i}].n, 0L) AS `n_{k}`" for i, k in enumerate(kinds)]
-    columns += [f"__s[{i}].{m} AS `{m}_{k}`" for i, k in enumerate(kinds) for m in ("bytes", "age")]
-    return slots.selectExpr("article", *columns)
+    columns = [f"coalesce(__m[{i}].n, 0L) AS `n_{k}`" for i, k in enumerate(kinds, 1)]
+    columns += [f"__m[{i}].{m} AS `{m}_{k}`" for i, k in enumerate(kinds, 1) for m in ("bytes", "age")]
+    return held.selectExpr("article", *columns)
