@@ -24,7 +24,7 @@ are never shuffled: to verify, the documents that hold a candidate are read agai
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain, combinations
 
 import numpy as np
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..sources.written import written
-from .leaks import _seed
+from ..sources.written import dropped, written
+from .bitmaps import bitmap, held
 from .residue_rules import MARK, SLOT, SLOTTED, SPREADS, trusted
 from .residue_seeds import known_residue
-from .words import mixed, words
+from .words import WordHashes, mixed, words
 
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
 WIDTH = 5
@@ -48,26 +48,7 @@ _SLOTTED = f" {SLOTTED.decode()} "
 _STEPS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDTH)], dtype=np.uint64)
 
 
-class _Words(dict):
-    """A number for each word; ``hashes`` has 64 bits of the word at its number, the same for all numbers in digits. Forgotten when there are too many."""
-
-    def __init__(self) -> None:
-        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        if n >= len(self.hashes):
-            self.hashes = np.concatenate((self.hashes, np.zeros(len(self.hashes), np.uint64)))
-        self.hashes[n] = _seed(b"0" if word.isdigit() else word)
-        return n
-
-    def of(self, words: Iterable[bytes]) -> np.ndarray:
-        if len(self) > 1_000_000:
-            self.clear()
-        return self.hashes[np.array(list(map(self.__getitem__, words)), dtype=np.int64)]
-
-
-_words = _Words()
+_words = WordHashes(same_numbers=True)
 
 
 def units(text: str | None) -> list[tuple[str, list[bytes]]]:
@@ -190,17 +171,6 @@ def tables(n_units: int) -> tuple[tuple[int, ...], ...]:
     return tuple(combinations(range(8), 2 if n_units <= 1 << 16 else 3 if n_units <= 1 << 24 else 4))
 
 
-def _bit(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-
-
-def _bitmap(places: DataFrame) -> np.ndarray:
-    """The occupied places as bits; gathered on the driver, which a bitmap's fixed size bounds."""
-    seen = np.zeros(1 << PLACE_BITS, bool)
-    seen[places.distinct().toArrow().column(0).to_numpy().astype(np.int64)] = True
-    return np.packbits(seen, bitorder="little")
-
-
 def _entries(bytes_of: tuple[tuple[int, ...], ...], similarity: float, occupied: np.ndarray | None):  # noqa: ANN202
     """(key, print, m, rank) of every unit in every table (rank -1) and of its least shingles, or of those in places that are occupied.
 
@@ -229,7 +199,7 @@ def _entries(bytes_of: tuple[tuple[int, ...], ...], similarity: float, occupied:
                 rank.append((np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32))
                 keys, row, rank = map(np.concatenate, (keys, row, rank))
                 if occupied is not None:
-                    kept = np.flatnonzero(_bit(occupied, keys >> np.uint64(64 - PLACE_BITS)))
+                    kept = np.flatnonzero(held(occupied, keys >> np.uint64(64 - PLACE_BITS)))
                     keys, row, rank = keys[kept], row[kept], rank[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(prints[row]), pa.array(m[row]), pa.array(rank)], names=["key", "print", "m", "rank"])
 
@@ -239,8 +209,8 @@ def _entries(bytes_of: tuple[tuple[int, ...], ...], similarity: float, occupied:
 def _sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """print and the shingles of a unit with that fingerprint. ``asked``: print and ``at``, a document that holds it."""
     place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - DOCUMENT_BITS).cast("int")
-    held = asked.select(place("at").alias("__p")).distinct()  # places, not documents: 2^20 at most
-    wanted = _bitmap(asked.select(F.shiftrightunsigned("print", 64 - PLACE_BITS)))
+    holding = asked.select(place("at").alias("__p")).distinct()  # places, not documents: 2^20 at most
+    wanted = bitmap(asked.select(F.shiftrightunsigned("print", 64 - PLACE_BITS).cast("int")), PLACE_BITS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,11 +219,11 @@ def _sets(rows: DataFrame, asked: DataFrame) -> DataFrame:
                 if not listed:
                     continue
                 prints = fingerprints(listed)
-                some = np.flatnonzero(_bit(wanted, prints >> np.uint64(64 - PLACE_BITS)))
+                some = np.flatnonzero(held(wanted, prints >> np.uint64(64 - PLACE_BITS)))
                 sets = [np.unique(shingles(listed[k])).view(np.int64).tolist() for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(prints[some].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["print", "shingles"])
 
-    holders = rows.withColumn("__p", place("__id")).join(F.broadcast(held), "__p", "left_semi").select("__text")
+    holders = rows.withColumn("__p", place("__id")).join(F.broadcast(holding), "__p", "left_semi").select("__text")
     return holders.mapInArrow(cut, "print bigint, shingles array<bigint>").groupBy("print").agg(F.min("shingles").alias("shingles"))
 
 
@@ -301,7 +271,7 @@ def residue_documents(
     step = 1
     while True:
         theirs = written(front.mapInArrow(_entries(bytes_of, similarity, None), entry).distinct())
-        occupied = _bitmap(theirs.select(F.shiftrightunsigned("key", 64 - PLACE_BITS)))
+        occupied = bitmap(theirs.select(F.shiftrightunsigned("key", 64 - PLACE_BITS).cast("int")), PLACE_BITS)
         if not occupied.any():
             break
         # The least shingle that two units share leaves them as many more as follow it in both.
@@ -319,6 +289,7 @@ def residue_documents(
             .distinct()
             .join(labelled, "print", "left_anti")
         )
+        dropped(theirs)
         if near.isEmpty():
             break
         asked = near.select("print").union(near.select("known")).distinct()
@@ -327,6 +298,7 @@ def residue_documents(
         shared = F.size(F.array_intersect("shingles", "theirs"))
         alike = shared >= F.lit(similarity) * (F.size("shingles") + F.size("theirs") - shared)
         fresh = written(near.join(a, "print").join(b, "known").where(alike).select("print").distinct())
+        dropped(near, sets)
         if fresh.isEmpty():
             break
         step += 1

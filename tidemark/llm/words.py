@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 LINKED = re.compile(r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]|\]\((?:[^()\s]*)\)")
@@ -49,6 +51,26 @@ def words(text: str | None) -> list[bytes]:
     return text.translate(_fold).encode("utf-8", "replace").split()
 
 
+class WordHashes(dict):
+    """A number for each word; ``hashes`` has 64 bits of the word at its number, the same in every process. Forgotten when there are too many."""
+
+    def __init__(self, same_numbers: bool = False) -> None:
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
+        self.same_numbers = same_numbers  # all runs of digits are one word
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n >= len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros(len(self.hashes), np.uint64)))
+        self.hashes[n] = xxhash.xxh64_intdigest(b"0" if self.same_numbers and word.isdigit() else word)
+        return n
+
+    def of(self, words: Iterable[bytes]) -> np.ndarray:
+        if len(self) > 1_000_000:
+            self.clear()
+        return self.hashes[np.array(list(map(self.__getitem__, words)), dtype=np.int64)]
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """64 well mixed bits of each integer (the finaliser of splitmix64)."""
     x = values.astype(np.uint64)
