@@ -122,7 +122,7 @@ def api_date(time: Column, granularity: str = "daily") -> Column:
 
 
 #: The shape of an address, and the words of summaries that undo an edit.
-ADDRESS = r"^(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|([0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4})$"
+ADDRESS = r"^((\d{1,3}\.){3}\d{1,3}|([0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4})$"
 UNDOING = ("revert", "undo", "undid", "rollback", "reverted", "rv ", "restore", "restored")
 
 

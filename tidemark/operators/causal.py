@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as s
-from . import stats
+from . import models, stats
 
 
 def _split(df: DataFrame, by: Sequence[str], day: str, event: str, pre: int, post: int) -> DataFrame:
@@ -96,6 +96,51 @@ def placebo_difference(df: DataFrame, group: str, treated: str, control: str, da
     return difference_in_differences(df.where(F.col(day) < F.lit(event).cast("date")), group, treated, control, day, value, placebo)
 
 
+def baseline_gaps(
+    df: DataFrame, by: Sequence[str], day: str, value: str, event: str, pre: int = 90, post: int = 30, least: int = 60, method: str = "arima", order: tuple[int, int, int] | None = None, level: float = 0.95
+) -> DataFrame:
+    """Rows after the event against the forecast of a model of the rows before: by, day, x, observed, counterfactual, gap, lo, hi.
+
+    ``method`` is ``arima`` (of an ``order``, or one found by AIC) or ``fourier_trend``. The interval grows with the root of the
+    step. Series with fewer than ``least`` rows before are left out. A task holds one series' ``pre`` + ``post`` rows.
+    """
+    rows = _split(df, by, day, event, pre, post).where(F.col("n_pre") >= least).select(*by, F.col(day).alias("__day"), F.col("x").cast("long").alias("x"), "is_post", F.col(value).cast("double").alias("__v"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by, day).schema)
+    fit = {"arima": lambda v, h: models.arima(v, h, order), "fourier_trend": models.fourier_trend}[method]
+    z = s.normal_quantile((1 + level) / 2)
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        before, after = pdf[~pdf["is_post"]], pdf[pdf["is_post"]]
+        train = before["__v"].to_numpy()
+        made, fitted = fit(train, len(after))
+        reach = z * np.nanstd(models.filled(train) - fitted) * np.sqrt(np.arange(1, len(after) + 1))
+        seen = after["__v"].to_numpy()
+        out = dict(zip(by, key, strict=True)) | {day: after["__day"], "x": after["x"], "observed": seen, "counterfactual": made, "gap": seen - made, "lo": made - reach, "hi": made + reach}
+        return pd.DataFrame(out)
+
+    return rows.groupBy(*by).applyInPandas(one, f"{kinds}, x bigint, observed double, counterfactual double, gap double, lo double, hi double")
+
+
+def evaluate_campaign(
+    df: DataFrame, by: Sequence[str], day: str, value: str, start: str, pre: int = 90, post: int = 90, draws: int = 10_000, treated: str | None = None
+) -> DataFrame:
+    """One row per series: n, effect, percent, t, p, lo, hi of the gap to the line before; ``windows``, the mean gap at once, in the short and in the long run; permutation_p.
+
+    With ``treated``, a value of the first column of ``by``, that series also gets ``synthetic_effect``, against a weighted
+    mix of the other series; null where the mix fits badly.
+    """
+    gaps = interrupted_series(df, by, day, value, start, pre, post)
+    windows = duration_effects(gaps, by, day, start).groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("window", "effect")))).alias("windows"))
+    around = _split(df, by, day, start, pre, post).withColumn("__part", F.when(F.col("is_post"), "after").otherwise("before"))
+    shuffled = stats.permutation_test(around, by, "__part", "after", "before", value, draws).select(*by, F.col("p").alias("permutation_p"))
+    out = gap_test(gaps, by).join(windows, list(by), "left").join(shuffled, list(by), "left")
+    if treated is None:
+        return out
+    mixed = synthetic_control(df, by[0], treated, day, value, start, placebos=False).where("is_treated").select(by[0], F.col("effect").alias("synthetic_effect"))
+    return out.join(mixed, by[0], "left")
+
+
 def abnormal_sum(gaps: DataFrame, by: Sequence[str]) -> DataFrame:
     """Event study over rows with observed and expected: cumulated gap, its z (over sqrt n population deviations), p, and the share outside lo..hi where given."""
     c = F.col

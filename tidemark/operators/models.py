@@ -260,29 +260,81 @@ def holt_winters(x: np.ndarray, period: int, horizon: int) -> tuple[np.ndarray,
     return level[k] + ahead * trend[k] + season[k, (n + ahead - 1) % p], fitted[k]
 
 
-def autoregression(x: np.ndarray, horizon: int, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """ARI(p, d): d by the smaller variance of the series and its differences, p up to ``most`` by AIC, fitted by least squares."""
+def _steady(lags: np.ndarray) -> bool:
+    """Whether a recursion with these coefficients dies away."""
+    if not len(lags):
+        return True
+    companion = np.eye(len(lags), k=-1)
+    companion[0] = lags
+    return bool(np.abs(np.linalg.eigvals(companion)).max() < 0.999)
+
+
+def _arma(z: np.ndarray, shocks: np.ndarray, p: int, q: int, first: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """AIC, coefficients and fitted values from row ``first`` on of a regression on p lags and q shocks."""
+    rows = np.arange(first, len(z))
+    design = np.column_stack([np.ones(len(rows)), *(z[rows - k] for k in range(1, p + 1)), *(shocks[rows - k] for k in range(1, q + 1))])
+    coef, *_ = np.linalg.lstsq(design, z[rows], rcond=None)
+    made = design @ coef
+    sse = ((z[rows] - made) ** 2).sum()
+    return len(rows) * np.log(max(sse / len(rows), 1e-12)) + 2 * (p + q + 2), coef, made
+
+
+def arima(x: np.ndarray, horizon: int, order: tuple[int, int, int] | None = None, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """ARIMA(p, d, q): point forecasts and fitted values.
+
+    Without an order, the series is differenced while that makes its variance smaller (twice at most), and p and q
+    are searched stepwise by AIC from small models on. Shocks are the residuals of a long autoregression,
+    coefficients come by least squares on lags and shocks; models that do not die away or cannot be inverted are passed over.
+    """
     y = filled(x)
-    d = 1 if len(y) > 3 and np.diff(y).var() < y.var() else 0
-    z = np.diff(y) if d else y
-    best = None
-    for p in range(0, min(most, len(z) // 4) + 1):
-        design = np.column_stack([np.ones(len(z) - most), *(z[most - k : len(z) - k] for k in range(1, p + 1))]) if len(z) > most else np.ones((len(z), 1))
-        target = z[most:] if len(z) > most else z
-        coef, *_ = np.linalg.lstsq(design, target, rcond=None)
-        sse = ((target - design @ coef) ** 2).sum()
-        aic = len(target) * np.log(max(sse / len(target), 1e-12)) + 2 * (design.shape[1] + 1)
-        if best is None or aic < best[0]:
-            best = (aic, design.shape[1] - 1, coef, design @ coef)
-    _, p, coef, inner = best
-    past, out = list(z), []
+    if order is None:
+        d = 0
+        while d < 2 and len(y) > 20 and np.diff(y, d + 1).var() < np.diff(y, d).var():
+            d += 1
+    else:
+        d = order[1]
+    z = np.diff(y, d) if d else y
+    if len(z) < 4:
+        raise ValueError("an ARIMA model needs four rows")
+    long = min(10, max(1, len(z) // 4))
+    shocks = np.zeros(len(z))
+    if order is None or order[2]:
+        shocks[long:] = z[long:] - _arma(z, shocks, long, 0, long)[2]
+    if order is None:
+        most, first = min(most, len(z) // 8), min(long + most, len(z) // 2)
+        tried: dict[tuple[int, int], tuple[float, np.ndarray]] = {}
+
+        def aic(p: int, q: int) -> float:
+            if min(p, q) < 0 or max(p, q) > most:
+                return np.inf
+            if (p, q) not in tried:
+                score, coef, _ = _arma(z, shocks, p, q, first)
+                tried[p, q] = (score if _steady(coef[1 : p + 1]) and _steady(-coef[p + 1 :]) else np.inf, coef)
+            return tried[p, q][0]
+
+        p, q = min(((0, 0), (1, 0), (0, 1), (2, 2)), key=lambda m: aic(*m))
+        while True:
+            better = min(((p + i, q + j) for i in (-1, 0, 1) for j in (-1, 0, 1)), key=lambda m: aic(*m))
+            if not aic(*better) < aic(p, q):
+                break
+            p, q = better
+    else:
+        p, _, q = order
+    first = max(p, q + long if q else 0)
+    _, coef, inner = _arma(z, shocks, p, q, first)
+    past, shock, out = list(z), list(shocks), []
     for _ in range(horizon):
-        step = coef[0] + sum(coef[k] * past[-k] for k in range(1, p + 1))
+        step = coef[0] + sum(coef[k] * past[-k] for k in range(1, p + 1)) + sum(coef[p + k] * shock[-k] for k in range(1, q + 1))
         past.append(step)
+        shock.append(0.0)
         out.append(step)
     fitted = np.full(len(y), np.nan)
-    fitted[len(y) - len(inner) :] = inner + (y[len(y) - len(inner) - 1 : -1] if d else 0)
-    return (y[-1] + np.cumsum(out)) if d else np.array(out), filled(fitted)
+    error = z[first:] - inner  # of the differences, and so of the series
+    fitted[d + first :] = y[d + first :] - error
+    made = np.array(out)
+    for k in range(d, 0, -1):
+        made = np.diff(y, k - 1)[-1] + np.cumsum(made)
+    return made, fitted
 
 
 def fourier_trend(x: np.ndarray, horizon: int, start_weekday: int = 0, changes: int = 10, ridge: float = 0.05, multiplicative: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +362,7 @@ def fourier_trend(x: np.ndarray, horizon: int, start_weekday: int = 0, changes:
 
 
 METHODS: dict[str, Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]] = {
-    "autoregression": autoregression,
+    "arima": lambda x, h: (lambda made, fitted: (made, filled(fitted)))(*arima(x, h)),
     "fourier_trend": fourier_trend,
     "holt_winters": lambda x, h: holt_winters(x, 7, h),
 }

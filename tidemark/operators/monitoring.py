@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,8 @@ def recent_health(runs: DataFrame, time: str, ok: str, most: int = 10) -> DataFr
     return last.agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok")).withColumn("success_rate", F.coalesce(F.try_divide("n_ok", "n"), F.lit(0.0)))
 
 
-def worst(components: DataFrame, status: str, order: Sequence[str] = ("healthy", "degraded", "unhealthy")) -> DataFrame:
-    """The worst status of the components; an unknown one counts as the worst."""
+def worst(components: DataFrame | GroupedData, status: str, order: Sequence[str] = ("healthy", "degraded", "unhealthy")) -> DataFrame:
+    """The worst status of the components, or of each group of them; an unknown one counts as the worst."""
     severity = F.coalesce(F.element_at(F.create_map(*(x for i, s in enumerate(order) for x in (F.lit(s), F.lit(i)))), F.col(status)), F.lit(len(order) - 1))
     return components.agg(F.element_at(F.array(*map(F.lit, order)), F.max(severity) + 1).alias("status"))
 

@@ -37,6 +37,33 @@ def recommendations(newest: DataFrame) -> DataFrame:
     return invest.unionByName(below)
 
 
+def investments(newest: DataFrame) -> DataFrame:
+    """Companies of the bottom quarter with the gap to their sector's mean: company_id, sector, score, sector_mean, gap, confidence, percent and talent_percent.
+
+    confidence is the gap's share of the mean, held to 1, and a half where the mean is 0; percent is the same share in percent, talent_percent half of it; rounded half to even.
+    """
+    c = F.col
+    means = newest.groupBy("sector").agg(F.avg("score").alias("sector_mean"))
+    out = top_share(newest, "score", ["company_id"], bottom=True).join(means, "sector").withColumn("gap", F.greatest(c("sector_mean") - c("score"), F.lit(0.0)))
+    share = F.try_divide("gap", "sector_mean")
+    out = out.withColumns({"confidence": F.coalesce(F.bround(F.least(share, F.lit(1.0)), 4), F.lit(0.5)), "percent": F.coalesce(F.bround(share * 100, 1), F.lit(0.0))})
+    return out.withColumn("talent_percent", F.bround(c("percent") * 0.5, 1)).select("company_id", "sector", "score", "sector_mean", "gap", "confidence", "percent", "talent_percent")
+
+
+def as_text(report: DataFrame, fmt: str = "txt") -> DataFrame:
+    """``line``: each field of each row as ``name: value``, or as rows of an HTML table; nested values as JSON."""
+    if fmt not in ("txt", "html"):
+        raise ValueError(f"no format {fmt}")
+    nested = {f.name for f in report.schema if f.dataType.typeName() in ("struct", "array", "map")}
+    shown = lambda name: F.coalesce(F.to_json(name) if name in nested else F.col(name).cast("string"), F.lit(""))
+    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    if fmt == "txt":
+        return report.select(F.explode(F.array(*(F.concat(F.lit(f"{n}: "), shown(n)) for n in report.columns))).alias("line"))
+    cells = lambda tag, some: F.concat(F.lit("<tr>"), *(F.concat(F.lit(f"<{tag}>"), safe(x), F.lit(f"</{tag}>")) for x in some), F.lit("</tr>"))
+    head = report.sparkSession.range(1).select(cells("th", [F.lit(n) for n in report.columns]).alias("line"))
+    return head.union(report.select(cells("td", [shown(n) for n in report.columns]).alias("line")))
+
+
 def executive_report(log: DataFrame, most: int = 20) -> DataFrame:
     """One row with period, summary, the ``most`` best companies, trends by sector (map to days) and the ``most`` first recommendations."""
     newest = written(latest(log, "company_id", "at"))

@@ -97,8 +97,46 @@ def rank_sums(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) ->
     return sums.join(tie, list(by)) if by else sums.crossJoin(F.broadcast(tie))
 
 
+#: Samples up to this size without ties have exact probabilities.
+EXACT = 8
+
+
+def _exact_p() -> list[list[list[float]]]:
+    """Two-sided p of U by the sizes of both samples (from 1) and U (from 0), from the number of orders that give each U."""
+    ways: dict[tuple[int, int], list[int]] = {}
+    for a in range(EXACT + 1):
+        for b in range(EXACT + 1):
+            n = [0] * (a * b + 1)
+            if not a * b:
+                n[0] = 1
+            else:
+                for u in range(a * b + 1):  # the largest value is of the first sample and beats all b, or of the second
+                    n[u] = (ways[a - 1, b][u - b] if u >= b else 0) + (ways[a, b - 1][u] if u <= a * (b - 1) else 0)
+            ways[a, b] = n
+    table = []
+    for a in range(1, EXACT + 1):
+        table.append([])
+        for b in range(1, EXACT + 1):
+            n = ways[a, b]
+            table[-1].append([min(1.0, 2 * min(sum(n[: u + 1]), sum(n[u:])) / sum(n)) for u in range(a * b + 1)])
+    return table
+
+
+def median_difference(df: DataFrame, group: str, a: str, b: str, value: str, by: Sequence[str] = (), z: float = 1.96) -> DataFrame:
+    """median_a, median_b, difference and lo, hi: z times the pooled population deviation over the samples' sizes."""
+    c = F.col
+    of = lambda g: F.median(F.when(c(group) == g, c(value)))
+    size = lambda g: F.count(F.when(c(group) == g, c(value)))
+    out = df.where(c(group).isin(a, b)).groupBy(*by).agg(of(a).alias("median_a"), of(b).alias("median_b"), size(a).alias("__m"), size(b).alias("__n"), F.stddev_pop(value).alias("__sd"))
+    reach = z * F.sqrt(F.try_divide(c("__m") + c("__n"), c("__m") * c("__n"))) * c("__sd")
+    return out.withColumn("difference", c("median_a") - c("median_b")).withColumns({"lo": c("difference") - reach, "hi": c("difference") + reach}).drop("__m", "__n", "__sd")
+
+
 def mann_whitney(df: DataFrame, group: str, a: str, b: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """U of group a, z (normal approximation with tie and continuity correction), effect 1 - 2U/(n_a n_b) and two-sided p."""
+    """U of group a, z (normal approximation with tie and continuity correction), effect 1 - 2U/(n_a n_b) and two-sided p.
+
+    Two samples of at most ``EXACT`` values each without ties have the exact p.
+    """
     c = F.col
     sums = rank_sums(df.where(c(group).isin(a, b)), group, value, by)
     pick = lambda g, x: F.max(F.when(c(group) == g, c(x)))
@@ -107,7 +145,10 @@ def mann_whitney(df: DataFrame, group: str, a: str, b: str, value: str, by: Sequ
     u = c("r_a") - c("n_a") * (c("n_a") + 1) / 2.0
     sigma = F.sqrt(prod / 12.0 * ((n + 1) - F.try_divide(c("tie_term"), n * (n - 1))))
     out = wide.withColumns({"u": u, "z": F.coalesce(F.try_divide(F.greatest(F.lit(0.0), F.abs(u - prod / 2.0) - 0.5), sigma), F.lit(0.0)), "effect": 1 - F.try_divide(2 * u, prod)})
-    return out.withColumn("p", s.normal_p_value("z")).select(*by, "n_a", "n_b", "u", "z", "effect", "p")
+    small = (c("n_a") <= EXACT) & (c("n_b") <= EXACT) & (c("tie_term") == 0)
+    at = lambda x, i: F.get(x, i.cast("int"))
+    exact = at(at(at(F.lit(_exact_p()), c("n_a") - 1), c("n_b") - 1), c("u"))
+    return out.withColumn("p", F.when(small, exact).otherwise(s.normal_p_value("z"))).select(*by, "n_a", "n_b", "u", "z", "effect", "p")
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:

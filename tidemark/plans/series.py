@@ -282,8 +282,8 @@ def duration_effects(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_ITS + " SELECT series, count(*) AS n, round(sum(gap), 3) AS car, round(sum(gap) / (stddev_pop(gap) * sqrt(count(*))), 6) AS z FROM gaps GROUP BY 1")
-def event_study(spark: SparkSession, d: str) -> DataFrame:
-    """W28, C10, C20."""
+def cumulated_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Against the straight line before."""
     g = causal.interrupted_series(daily_orders(spark, d), BY, "day", "value", EVENT)
     return causal.abnormal_sum(g, BY).select("series", "n", F.round("car", 3).alias("car"), r6("z", "z"))
 
@@ -366,14 +366,14 @@ def statistics_p_values(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
     """X12, Y01."""
-    return stats.resampled(daily_orders(spark, d), BY, "value", "mean", draws=1000)
+    return stats.resampled(daily_orders(spark, d), BY, "value", "mean")
 
 
 @query()
 def permutation_effects(spark: SparkSession, d: str) -> DataFrame:
     """Weekdays against weekends."""
     part = F.when(F.weekday("day") >= 5, "weekend").otherwise("weekday")
-    return stats.permutation_test(daily_orders(spark, d).withColumn("part", part), BY, "part", "weekday", "weekend", "value", draws=1000)
+    return stats.permutation_test(daily_orders(spark, d).withColumn("part", part), BY, "part", "weekday", "weekend", "value")
 
 
 @query()

@@ -83,3 +83,8 @@ def lineage(spark: SparkSession, run: str, source: str, steps: list[str], read:
 def run_metrics(runs: DataFrame) -> DataFrame:
     """Success rate of each run; nothing read is 0."""
     return runs.select("run", "source", F.coalesce(F.try_divide("n_loaded", "n_read"), F.lit(0.0)).alias("success_rate"), "n_quarantined")
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """Write a column ``line`` as text files; a report's few lines keep their order in one file."""
+    lines.select("line").coalesce(1).write.mode("overwrite").text(path)
