@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import quarter_label
+from ..functions.metrics import capped, quarter_label
 from ..sources.written import written
 from .ranking import latest, top_share
 
@@ -46,7 +46,7 @@ def investments(newest: DataFrame) -> DataFrame:
     means = newest.groupBy("sector").agg(F.avg("score").alias("sector_mean"))
     out = top_share(newest, "score", ["company_id"], bottom=True).join(means, "sector").withColumn("gap", F.greatest(c("sector_mean") - c("score"), F.lit(0.0)))
     share = F.try_divide("gap", "sector_mean")
-    out = out.withColumns({"confidence": F.coalesce(F.bround(F.least(share, F.lit(1.0)), 4), F.lit(0.5)), "percent": F.coalesce(F.bround(share * 100, 1), F.lit(0.0))})
+    out = out.withColumns({"confidence": F.coalesce(F.bround(capped(share), 4), F.lit(0.5)), "percent": F.coalesce(F.bround(share * 100, 1), F.lit(0.0))})
     return out.withColumn("talent_percent", F.bround(c("percent") * 0.5, 1)).select("company_id", "sector", "score", "sector_mean", "gap", "confidence", "percent", "talent_percent")
 
 

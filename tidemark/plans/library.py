@@ -231,7 +231,7 @@ def chained_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT id AS company_id, sector, CAST(employee_count AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, snapshot_id) AS k FROM company_snapshots WHERE updated_at IS NOT NULL AND employee_count IS NOT NULL) WHERE k = 1),
   means AS (SELECT sector, avg(score) AS mean FROM n GROUP BY 1), low AS (SELECT *, row_number() OVER (ORDER BY score, company_id) AS k, count(*) OVER () AS c FROM n)
-  SELECT company_id, low.sector, score, round(mean, 4) AS sector_mean, round(greatest(mean - score, 0), 4) AS gap, round_even(coalesce(least(greatest(mean - score, 0) / nullif(mean, 0), 1), 0.5), 4) AS confidence FROM low JOIN means ON low.sector = means.sector WHERE k <= greatest(1, c // 4)""")
+  SELECT company_id, low.sector, score, round(mean, 4) AS sector_mean, round(greatest(mean - score, 0), 4) AS gap, round_even(CASE WHEN mean = 0 THEN 0.5 ELSE least(greatest(mean - score, 0) / mean, 1) END, 4) AS confidence FROM low JOIN means ON low.sector = means.sector WHERE k <= greatest(1, c // 4)""")
 def investment_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Companies of the bottom quarter with the gap to their sector."""
     from ..operators.ranking import latest

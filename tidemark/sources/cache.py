@@ -6,11 +6,15 @@ import hashlib
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from .written import shared_folder
 
+#: What a read or a write of a table can raise.
+FAILURES = (PySparkException, Py4JError)
+
 
 class ResultCache:
     """Read-through cache. Entries are written once and never changed; the newest that has not expired counts.
@@ -52,14 +56,14 @@ class ResultCache:
             kept = [e for e in self._entries(home) if e > now]
             if kept:
                 return self.spark.read.parquet(f"{home}/{kept[0]}")
-        except PySparkException:
+        except FAILURES:
             pass
         if make is None:
             return None
         df = make()
         try:
             return self.set(key, df, seconds)
-        except PySparkException:
+        except FAILURES:
             return df
 
     def forget(self, key: str) -> None:
