@@ -216,13 +216,19 @@ def simplex_weights(donors: np.ndarray, target: np.ndarray, steps: int = 5000) -
     return w
 
 
+#: Units of one pool of donors.
+MOST_UNITS = 1_000
+
+
 def synthetic_control(df: DataFrame, unit: str, treated: str, day: str, value: str, event: str, least: int = 30, least_fit: float = 0.7, placebos: bool = True) -> DataFrame:
     """Each unit against a weighted mix of the others: unit, is_treated, weights, fit (R² before the event), effect (mean gap after), n and, on the treated row, p by the share of placebos with as large an effect.
 
-    Each unit is a task of its own over the small matrix of days by units, which is bounded
-    by the time covered and the number of donors. Units with a poor fit are left out of p;
+    Each unit is a task of its own over the matrix of days by units, so the work grows with the square of the
+    units: more than ``MOST_UNITS`` raise. Units with a poor fit are left out of p;
     a treated unit with a poor fit has no effect.
     """
+    if df.select(unit).distinct().limit(MOST_UNITS + 1).count() > MOST_UNITS:
+        raise ValueError(f"more than {MOST_UNITS} units; a synthetic control mixes a chosen pool of donors")
     units = df.where(F.col(value).isNotNull()).groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(F.col(unit), F.col(value).cast("double")))).alias("__m"))
     listed = df.select(F.col(unit).alias("__t")).distinct()
     if not placebos:

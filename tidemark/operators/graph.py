@@ -57,7 +57,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
             ranks = stepped.drop("moved")
             continue
         last, stepped = (stepped_last if k > cut_every else None), written(stepped)
-        moved = stepped.agg(F.sum("moved").alias("m")).first().m
+        moved = stepped.agg(F.sum("moved").alias("m")).first().m if tolerance > 0 else 1.0
         ranks, stepped_last = stepped.drop("moved"), stepped
         dropped(last)
         if moved <= tolerance:

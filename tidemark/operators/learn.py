@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from ..sources.written import written
 
 
-def topic_clusters(docs: DataFrame, doc_id: str, text: str, k: int = 8, features: int = 1000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def topic_clusters(docs: DataFrame, doc_id: str, text: str, k: int = 8, features: int = 1000, seed: int = 42, starts: int = 10, rounds: int = 300) -> tuple[DataFrame, DataFrame]:
     """Assignments (doc_id, cluster, confidence) and labels (cluster, size, label) by TF-IDF of words and pairs and k-means.
 
     Null and empty texts are left out. Terms must be in two documents; at most ``features``
     terms count. Confidence is one minus the distance over the largest distance. A label is the
-    three terms with the greatest mean weight. Vectors stay distributed; only centres are shared.
+    three terms with the greatest mean weight. Of ``starts`` runs of k-means the one with the least cost counts. Vectors stay distributed; only centres are shared.
     """
     rows = docs.where(F.length(F.trim(F.col(text))) > 0).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     shaped = Pipeline(
@@ -36,7 +36,8 @@ def topic_clusters(docs: DataFrame, doc_id: str, text: str, k: int = 8, features
     ).fit(rows)
     vocabulary = shaped.stages[4].vocabulary
     vectors = written(shaped.transform(rows).select("__id", "features"))
-    model = KMeans(k=k, seed=seed, maxIter=30).fit(vectors)
+    fits = (KMeans(k=k, seed=seed + i, maxIter=rounds).fit(vectors) for i in range(starts))
+    model = min(fits, key=lambda f: f.summary.trainingCost)
     centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
     placed = model.transform(vectors).select("__id", F.col("prediction").alias("cluster"), vector_to_array("features").alias("__v"))
     distance = F.sqrt(F.aggregate(F.zip_with("__v", F.element_at(centres, F.col("cluster") + 1), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -49,7 +50,7 @@ def topic_clusters(docs: DataFrame, doc_id: str, text: str, k: int = 8, features
     return assigned, sizes.join(names, "cluster")
 
 
-def growth_model(rows: DataFrame, key: str, target: str, embedding: str | None = None, drop: Sequence[str] = (), least: int = 100, seed: int = 42) -> DataFrame:
+def growth_model(rows: DataFrame, key: str, target: str, embedding: str | None = None, drop: Sequence[str] = (), least: int = 100, seed: int = 42, trees: int = 100) -> DataFrame:
     """key, actual, predicted, confidence: boosted trees on the numeric columns and an embedding.
 
     Features are every numeric column but key, target and ``drop``. Fewer than ``least`` rows
@@ -66,7 +67,7 @@ def growth_model(rows: DataFrame, key: str, target: str, embedding: str | None =
     if n < least:
         raise ValueError(f"{n} rows with {target}; a model needs {least}")
     assembled = VectorAssembler(inputCols=[*numeric, *(["__e"] if embedding else [])], outputCol="features").transform(data)
-    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=30, stepSize=0.1, maxDepth=3, seed=seed).fit(assembled)
+    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, stepSize=0.1, maxDepth=3, seed=seed).fit(assembled)
     scored = model.transform(assembled)
     steps = []
     for i, tree in enumerate(model.trees[1:]):  # the first tree is the level, the others are steps from it

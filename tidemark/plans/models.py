@@ -308,7 +308,7 @@ def synthetic_series(spark: SparkSession, d: str) -> DataFrame:
     return landed.synthetic_traffic(spark)
 
 
-@query()
+@query("SELECT id, title, title AS name, 1 AS n_links FROM dim_articles WHERE title IS NOT NULL")
 def page_parts(spark: SparkSession, d: str) -> DataFrame:
     """Parts of a page made from each article's title."""
     a = table(spark, d, "dim_articles").where("title is not null")

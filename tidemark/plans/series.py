@@ -383,7 +383,10 @@ def synthetic_controls(spark: SparkSession, d: str) -> DataFrame:
     return causal.synthetic_control(monthly, "series", "1-URGENT", "day", "value", EVENT, least_fit=-10.0)
 
 
-@query()
+@query(f"""WITH {DAILY_ORDERS}, pre AS (SELECT series, avg(value) AS base, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS k FROM daily WHERE day < DATE '{EVENT}') WHERE k <= 90 GROUP BY 1 HAVING count(*) >= 30),
+  post AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS k FROM daily WHERE day >= DATE '{EVENT}' QUALIFY k <= 180), sized AS (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM post),
+  means AS (SELECT p.series, p.k, (SELECT avg(q.value) FROM sized q WHERE q.series = p.series AND q.k BETWEEN p.k - least(7, greatest(1, p.n // 4)) + 1 AND p.k) AS m FROM sized p)
+  SELECT m.series, CAST(coalesce(min(k - 1) FILTER (abs(m - base) <= 0.1 * abs(base)), 180) AS BIGINT) AS days FROM means m JOIN pre ON m.series = pre.series GROUP BY 1""")
 def persistence_days(spark: SparkSession, d: str) -> DataFrame:
     """W20."""
     return causal.persistence(daily_orders(spark, d), BY, "day", "value", EVENT)
