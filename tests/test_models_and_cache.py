@@ -85,6 +85,24 @@ def test_exact_rank_test(spark, a, b):
     assert r.p == pytest.approx(min(1, 2 * min(sum(x <= u for x in every), sum(x >= u for x in every)) / len(every)))
 
 
+def test_shapiro_wilk():
+    # Weights of eleven men, the published example of the test: W 0.79.
+    w, p = stats.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
+    assert w == pytest.approx(0.7888, abs=1e-3) and p == pytest.approx(0.0067, abs=5e-4)
+    rng = np.random.default_rng(1)
+    normal = [stats.shapiro_wilk(rng.normal(size=n))[1] for n in (4, 8, 20, 200) for _ in range(200)]
+    assert 0.02 < np.mean(np.array(normal) < 0.05) < 0.09
+    assert np.mean([stats.shapiro_wilk(rng.exponential(size=100))[1] < 0.05 for _ in range(50)]) > 0.95
+    assert stats.shapiro_wilk(np.ones(5)) == (1.0, 1.0) and stats.shapiro_wilk(np.array([1, 2, 3.0]))[0] == pytest.approx(1)
+
+
+def test_sample_normality_of_groups(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in range(50)] + [("b", 1.0), ("b", None)] + [("c", float(2**v)) for v in range(12)], "g string, v double")
+    out = {r.g: r for r in stats.sample_normality(rows, ["g"], "v").collect()}
+    assert (out["a"].n, out["b"].n, out["c"].n) == (50, 1, 12)
+    assert out["b"].p is None and out["c"].p < 0.01 and out["a"].p > 0.01
+
+
 def test_median_difference(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 6.0), ("b", 4.0), ("c", 9.0)], "g string, v double")
     r = stats.median_difference(rows, "g", "a", "b", "v").first()

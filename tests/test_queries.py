@@ -22,6 +22,7 @@ CONDITIONS = {
     "structural_shifts": ("p < 0.05 and abs(abs(post_mean - pre_mean) - magnitude) < 1e-6 * abs(pre_mean) and confidence between 0 and 1", 0),
     "seasonality": ("test in ('spectral', 'acf', 'pacf') and (test = 'spectral' or abs(value) <= 1.5)", 15),
     "demand_forecast": ("lo_95 <= lo_80 and lo_80 <= lo_50 and lo_50 <= point and point <= hi_50 and hi_50 <= hi_80 and hi_80 <= hi_95 and abs(scenario_point - point * factor) < 1e-6 * abs(point)", 450),
+    "multiplicative_forecast": ("lo_95 <= lo_80 and lo_80 <= lo_50 and lo_50 <= point and point <= hi_50 and hi_50 <= hi_80 and hi_80 <= hi_95", 150),
     "forecast_errors": ("rmse > 0 and weight between 0 and 1 and method in ('arima', 'fourier_trend', 'holt_winters')", 15),
     "topic_labels": ("size > 0 and length(label) > 0", 2),
     "embedding_growth": ("confidence between 0 and 1 and abs(predicted - actual) < 10", 100),

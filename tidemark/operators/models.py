@@ -368,6 +368,10 @@ METHODS: dict[str, Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]] =
 }
 
 
+#: The same with seasons that grow with the level.
+MULTIPLICATIVE = METHODS | {"fourier_trend": lambda x, h: fourier_trend(x, h, multiplicative=True)}
+
+
 def hold_out_error(method: Callable, x: np.ndarray) -> float:
     """Root mean squared error on the last fifth (at least ten rows); infinite where it cannot be fitted."""
     k = max(10, len(x) // 5)
@@ -473,11 +477,11 @@ def seasonality_tests(df: DataFrame, by: Sequence[str], day: str, value: str, pe
     return _grouped(df, by, day, value, fn, "test string, value double, is_significant boolean", 3 * period)
 
 
-def forecasts(df: DataFrame, by: Sequence[str], day: str, value: str, horizon: int = 30) -> DataFrame:
-    """by, day, step, point and 50, 80 and 95 % intervals of the weighted ensemble."""
+def forecasts(df: DataFrame, by: Sequence[str], day: str, value: str, horizon: int = 30, methods: dict | None = None) -> DataFrame:
+    """by, day, step, point and 50, 80 and 95 % intervals of the weighted ensemble of ``methods`` (``METHODS``, ``MULTIPLICATIVE``)."""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = ensemble(pdf["__v"].to_numpy(), horizon)
+        out, _ = ensemble(pdf["__v"].to_numpy(), horizon, methods=methods)
         last = pd.Timestamp(pdf["__day"].iloc[-1])
         out["day"] = [(last + pd.Timedelta(days=int(s))).date() for s in out["step"]]
         return out

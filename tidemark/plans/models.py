@@ -204,6 +204,12 @@ def demand_forecast(spark: SparkSession, d: str) -> DataFrame:
     return models.scenarios(models.forecasts(daily_orders(spark, d), BY, "day", "value", 30))
 
 
+@query()
+def multiplicative_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The ensemble with seasons that grow with the level."""
+    return models.forecasts(daily_orders(spark, d), BY, "day", "value", 30, models.MULTIPLICATIVE)
+
+
 @query()
 def forecast_errors(spark: SparkSession, d: str) -> DataFrame:
     """F15, F19, F20."""
