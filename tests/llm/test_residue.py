@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
+from tidemark.llm import residue
 from tidemark.llm.residue import fingerprints, residue_documents, shingles, units
 from tidemark.llm.residue_rules import NONE, SPREADS, STAYS, trusted
-from tidemark.llm.words import words
+from tidemark.llm.words import mixed, words
 
 def label(text):
     return max((trusted(s, t) for s, t in units(text)), default=NONE)
@@ -94,11 +96,19 @@ def test_equal_fingerprints_are_majorities_of_shingle_bits():
     listed = [words(t) for t in texts]
     made = fingerprints(listed)
     for t, f in zip(listed, made):
-        s = shingles(t)
+        s = mixed(np.unique(shingles(t)))
         bits = [sum(int(x) >> b & 1 for x in s) * 2 > len(s) for b in range(64)]
         assert int(f) == sum(1 << b for b, on in enumerate(bits) if on)
 
 
+def test_different_shingles_do_not_depend_on_the_number_of_units(monkeypatch):
+    listed = [words(t) for t in ("a b c d e f a b c d e f g", "one two", "x x x x x x x x", "a b c d e f g h i j k l")]
+    fast = residue.different(*residue.hashed(listed))
+    monkeypatch.setattr(residue, "SPARE_BITS", 1)
+    slow = residue.different(*residue.hashed(listed))
+    assert all((x == y).all() for x, y in zip(fast, slow)) and fast[1].tolist() == [7, 1, 1, 8]
+
+
 def test_units_are_sentences():
     assert [u[0] for u in units("One two.  Three!\nFour | five\n\n—\n6.5 percent of it. " + "Seven eight nine ten eleven twelve.")] == ["One two.", "Three!", "Four | five", "6.5 percent of it.", "Seven eight nine ten eleven twelve."]
 

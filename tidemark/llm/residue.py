@@ -42,8 +42,11 @@ from .words import WordHashes, mixed, words
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)")
 WIDTH = 5
 #: Bits of a key or fingerprint by which its place in a bitmap is told, and of a document's place.
-PLACE_BITS, DOCUMENT_BITS = 24, 20
+PLACE_BITS, DOCUMENT_BITS = 26, 20
 GO = 1_000_000
+#: Bits that a shingle leaves to the number of its unit among those handled in one go.
+SPARE_BITS = 20
+SHINGLE = np.uint64(2**64 - 2**SPARE_BITS)
 _SLOTTED = f" {SLOTTED.decode()} "
 _STEPS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(WIDTH)], dtype=np.uint64)
 
@@ -66,11 +69,11 @@ def units(text: str | None) -> list[tuple[str, list[bytes]]]:
 
 
 def shingles(tokens: list[bytes]) -> np.ndarray:
-    """Hashes of the five-word shingles of a unit; a shorter unit is one shingle."""
+    """Hashes of the five-word shingles of a unit, 44 bits followed by zeros; a shorter unit is one shingle."""
     h = _words.of(tokens)
     k = min(WIDTH, len(h))
     total = sum((h[i : len(h) - k + 1 + i] * _STEPS[i] for i in range(k)), np.zeros(len(h) - k + 1, np.uint64))
-    return mixed(total)
+    return mixed(total) & SHINGLE
 
 
 def hashed(units_tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,22 +90,29 @@ def hashed(units_tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.
     for k in range(1, WIDTH):  # a shorter unit's shingle must not reach into the next unit
         some = short[lengths[short] == k]
         total[starts[some]] = sum((h[starts[some] + i] * _STEPS[i] for i in range(k)), np.zeros(len(some), np.uint64))
-    return mixed(total), starts, np.maximum(lengths - WIDTH + 1, 1)
+    return mixed(total) & SHINGLE, starts, np.maximum(lengths - WIDTH + 1, 1)
 
 
 def fingerprints(units_tokens: list[list[bytes]]) -> np.ndarray:
-    """The SimHash of each unit, all units at once; the majority of the bits of its different ``shingles``."""
+    """The SimHash of each unit, all units at once; the majority of 64 bits made of each of its different ``shingles``."""
     return _majorities(*different(*hashed(units_tokens)))
 
 
 def different(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different shingles of each unit in order, one list after another, and how many there are of each."""
-    unit = np.repeat(np.arange(len(n)), n)
+    unit = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     h = hashes[np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)]
+    if len(n) <= 1 << SPARE_BITS:  # unit and hash are one number, which sorts fast
+        key = unit << np.uint64(64 - SPARE_BITS) | h >> np.uint64(SPARE_BITS)
+        key.sort()
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        key = key[fresh]
+        return key << np.uint64(SPARE_BITS), np.bincount((key >> np.uint64(64 - SPARE_BITS)).astype(np.int64), minlength=len(n))
     h = h[np.lexsort((h, unit))]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
-    return h[fresh], np.bincount(unit[fresh], minlength=len(n))
+    return h[fresh], np.bincount(unit[fresh].astype(np.int64), minlength=len(n))
 
 
 def prefixes(h: np.ndarray, m: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +127,7 @@ def prefixes(h: np.ndarray, m: np.ndarray, similarity: float) -> tuple[np.ndarra
 
 def _majorities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     starts = np.cumsum(n) - n
-    bits = np.unpackbits(np.append(hashes, np.uint64(0)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.append(mixed(hashes), np.uint64(0)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     edges = np.stack((starts, starts + n), axis=1).ravel()
     count = np.add.reduceat(bits, edges, axis=0, dtype=np.uint8)[::2].astype(np.int32)  # bytes add up fast
     for i in np.flatnonzero(n > 255):  # where they would overflow

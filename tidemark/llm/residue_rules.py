@@ -170,6 +170,8 @@ _TO_READER = re.compile(
 )
 #: What goes before a message without being part of it.
 _LEAD = re.compile(r"^(?:[\s>*•·|=~\"'“„«¡⚠❗️ℹ✖!-]|#+ |(?:heads up|note|notice|warning|attention|sorry|hinweis|achtung|avis|aviso|atención|important)\s*[–—:!,.-]+\s*|\d{1,2}[.)] |\(?[a-z]\) |<(?!\?|%|to |insert|your|enter|add|noscript|html|!--)[^<>]{0,60}>)+", _I)
+#: The letters with which the words of a lead begin.
+_LEADING = "hnwsaiHNWSAI"
 PAST = re.compile(r"\b(?:was|were|rewritten|had|wurde|war|était|fue)\b", _I)
 LATIN = frozenset(b"lorem ipsum dolor amet velit massa porta tempus semper aliqua luctis integro nostro quam vestra consectetur adipiscing elit sed eiusmod tempor incididunt labore magna enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim".split())
 MARK = re.compile(r"[{<\[$@#%_]")
@@ -198,7 +200,8 @@ def trusted(segment: str, tokens: list[bytes]) -> int:
         return SPREADS
     if len(tokens) > 3 and tokens[0] == tokens[1] and len(set(tokens)) == 1:
         return SPREADS
-    lead = _LEAD.match(segment)
+    c = segment[0]
+    lead = _LEAD.match(segment) if not c.isalpha() or c in _LEADING or segment[1:2] == ")" else None
     text = (segment[lead.end() :] if lead else segment).strip()
     if not text:
         return NONE
