@@ -116,7 +116,7 @@ def merge_updates(history: DataFrame, log: DataFrame, batch: DataFrame, entity:
     return _named(passing.unionByName(replayed), entity, attributes)
 
 
-def merged_history(snapshots: DataFrame, entity: str, valid: str, load: str, attributes: Sequence[str], batches: int = 3, piece_days: int = 30) -> DataFrame:
+def merged_history(snapshots: DataFrame, entity: str, valid: str, load: str, attributes: Sequence[str], batches: int = 2, piece_days: int = 30) -> DataFrame:
     """The history of ``snapshots``, merged in batches of about equal size in the order of ``load``; rows without load come first.
 
     The history between batches is written to the shared folder before the result is asked for.
