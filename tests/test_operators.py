@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, heavy_keys, history, rolling, sessions, spikes
+from tidemark.plans import pipeline
 
 T0 = dt.datetime(2024, 9, 1)
 FEW = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -175,6 +176,21 @@ def test_tail_cutoff_flags_a_spike(spark):
     assert spikes.suspicious_readings(df.limit(0), ["a", "p"], "x", "t", "b", "h").collect() == []
 
 
+def test_p4_found_has_no_stage_without_effect(spark, tmp_path):
+    # A tail under five medians, spikes that fill the tail, and a source too short for a cutoff.
+    over = {"a": {40: 700, 41: 480}, "b": {d: 600 + d for d in range(0, 70, 3)}, "c": {2: 900}}
+    totals = [(a, d, over[a].get(d, 100 + d * 7919 % 23)) for a, n in (("a", 70), ("b", 70), ("c", 4)) for d in range(n)]
+    rows = [(a, d, "d", t, t // 5, t - t // 5) for a, d, t in totals]
+    schema = "article string, timestamp timestamp_ntz, device_type string, views_total long, views_bot long, views_human long"
+    spark.createDataFrame([(a, at(d * 86_400), *rest) for a, d, *rest in rows], schema).write.parquet(f"{tmp_path}/pageviews.parquet")
+    found, tails = (pipeline.QUERIES[name](spark, str(tmp_path)) for name in ("p4_found", "p4_tails"))
+    assert {(r.article, r.device_type, (dt.date.fromisoformat(r.day) - T0.date()).days) for r in found.collect()} == brute_suspicious(rows)
+    assert found.count() == 26
+    # The fit decides the rows of p4_tails; no row of p4_found depends on it, so it has no place in that plan.
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "__c0level#" in plan(tails) and "__c0level#" not in plan(found) and "__c1level#" not in plan(found)
+
+
 # p5
 
 
